@@ -36,8 +36,8 @@ class Groups:
             x = y
 
 
-def trie_links(values: np.ndarray, budget: int) -> np.ndarray:
-    """Root position of each of the sorted distinct uint64 values: values within the budget of each other are joined.
+def trie_links(values: np.ndarray, budget: int, agree=None) -> np.ndarray:
+    """Root position of each of the sorted uint64 values: values within the budget of each other are joined, if agree(i, j).
 
     Nodes are ranges of the sorted array that share their leading bits. Pairs of nodes are walked together from the
     root; the bits in which their prefixes differ add up, and a pair is left once they pass the budget. Pairs whose
@@ -54,13 +54,11 @@ def trie_links(values: np.ndarray, budget: int) -> np.ndarray:
         if (b - a) * (d - c) <= LEAF or bit < 0:
             if same and b - a == 1:
                 continue
-            if bit < 0 and not same:  # two values, all bits walked
-                groups.join(a, c)
-                continue
             near = np.bitwise_count(values[a:b, None] ^ values[None, c:d]) <= budget
             for i, j in zip(*np.nonzero(near), strict=True):
-                if not same or i < j:
-                    groups.join(a + int(i), c + int(j))
+                i, j = a + int(i), c + int(j)
+                if (not same or i < j) and (agree is None or (groups.find(i) != groups.find(j) and agree(i, j))):
+                    groups.join(i, j)
             continue
         r = groups.roots(a, b)
         if r[0] == r[-1] and (r == r[0]).all():
