@@ -88,15 +88,18 @@ def line_table(docs: DataFrame, text: str, key: str) -> DataFrame:
                 place = np.arange(len(words)) - np.repeat(new, size)
                 weave = B.mix64(words + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
                 h = B.mix64(np.add.reduceat(weave, new) + size.astype(np.uint64))[keep]
-                fp = np.empty(len(new), np.uint64)
-                step, i = 1 << 17, 0
+                fp = np.zeros(len(new), np.uint64)
+                # a line's distinct words vote: repeated words would draw unlike lines together
+                of = np.repeat(np.arange(len(new)), size)
+                one = np.unique((of.astype(np.uint64) << np.uint64(44)) | (words >> np.uint64(20)), return_index=True)[1]
+                of, votes = of[one], words[one]
+                begin = np.searchsorted(of, np.arange(len(new) + 1))
+                i = 0
                 while i < len(new):  # blocks of whole lines
-                    j = max(i + 1, int(np.searchsorted(new, new[i] + step, "right")) - 1)
-                    j = len(new) if new[-1] < new[i] + step else j
-                    a, b = new[i], new[j] if j < len(new) else len(words)
-                    ones = np.unpackbits(words[a:b].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                    count = np.add.reduceat(ones, new[i:j] - a, axis=0, dtype=np.int32)
-                    fp[i:j] = np.packbits(2 * count > size[i:j, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+                    j = max(i + 1, int(np.searchsorted(begin, begin[i] + (1 << 17), "right")) - 1)
+                    bits = np.unpackbits(votes[begin[i] : begin[j]].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                    count = np.add.reduceat(bits, begin[i:j] - begin[i], axis=0, dtype=np.int32)
+                    fp[i:j] = np.packbits(2 * count > np.diff(begin[i : j + 1])[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
                     i = j
                 first = new[keep]
                 yield pa.RecordBatch.from_arrays(
