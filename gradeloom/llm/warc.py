@@ -23,6 +23,8 @@ from gradeloom.runtime import run_folder, ship, stored
 #: Date of records whose page has none.
 DATE = "2024-01-01T00:00:00Z"
 LEVEL = 4
+#: Compressed bytes of responses that a task derives from, about.
+STRETCH = 4 << 20
 _SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:gradeloom:warc")
 
 _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
@@ -167,7 +169,9 @@ def write_derivatives(index: DataFrame, folder: str, *, key: str = "page_id") ->
             if x is not None:
                 x.close()
 
-    dealt = index.repartition("file", F.floor(F.col("offset") / F.lit(1 << 20))).sortWithinPartitions("file", "offset")
+    # by number: what the index weighs says nothing of the records behind it, so it must not be coalesced
+    total = index.agg(F.sum("length")).first()[0] or 0
+    dealt = index.repartition(max(1, -(-total // STRETCH)), "file", F.floor(F.col("offset") / F.lit(1 << 18))).sortWithinPartitions("file", "offset")
     kind = index.schema[key].dataType.simpleString()
     return stored(dealt.mapInArrow(run, f"`{key}` {kind}, {DERIVED}"), "warc-derived")
 
