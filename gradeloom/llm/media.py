@@ -28,6 +28,8 @@ UNIT = 576
 #: Bytes before a PNG's image data: signature, the IHDR chunk and the first chunk's length and type.
 HEADER = 41
 SHARD_BYTES = 256 << 20
+#: Stored bytes that a task reads back, about.
+STRETCH = 16 << 20
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
@@ -179,7 +181,9 @@ def media_columns(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -
     rows = write_shards(docs.select(key, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), text_payload(F.col(text)).alias("payload")), "payload", folder)
     canon = rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("p")).select("digest", "p.*")
     # dealt by shard and 4 MB of it, so that a task reads one stretch of a shard from front to back
-    dealt = canon.repartition("shard", F.floor(F.col("offset") / F.lit(4 << 20))).sortWithinPartitions("shard", "offset")
+    # by number: the places are small whatever they point to, so they must not be coalesced
+    total = rows.agg(F.sum("length")).first()[0] or 0
+    dealt = canon.repartition(max(1, -(-total // STRETCH)), "shard", F.floor(F.col("offset") / F.lit(4 << 20))).sortWithinPartitions("shard", "offset")
     read = stored(read_members(dealt, folder), "media-read")
     return rows.drop("shard", "offset", "length").join(canon, "digest").join(read, "digest")
 
