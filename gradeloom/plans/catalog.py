@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from gradeloom.plans import relational
+from gradeloom.operators import grouped
+from gradeloom.plans import domain, relational
 from gradeloom.plans.evidence import query, rendered
 
-_SQL = relational.SQL
+_SQL = {**relational.SQL, **{k: v if isinstance(v, str) else v[0] for k, v in domain.SQL.items()}}
+_DUCK = {**relational.SQL, **{k: v if isinstance(v, str) else v[1] for k, v in domain.SQL.items()}}
 
 
 def queries() -> dict:
-    return {name: query(sql) for name, sql in _SQL.items()}
+    """SQL queries by name, then those that need grouped Python functions or a stream."""
+    return {name: query(sql) for name, sql in _SQL.items()} | grouped.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: rendered(sql, duck=True) for name, sql in _SQL.items()}
+    return {name: rendered(sql, duck=True) for name, sql in _DUCK.items()}
