@@ -83,11 +83,15 @@ def derive(headers: dict[str, str], block: bytes) -> list[tuple[str, str, list[t
     page = body.decode("utf-8", "replace")
     source = [x.split(": ", 1) for x in http.decode("latin-1").split("\r\n")[1:] if ": " in x]
     refers = headers["WARC-Record-ID"]
-    shared = [("WARC-Refers-To", refers), ("WARC-Date", headers["WARC-Date"])] + [("WARC-Target-URI", headers["WARC-Target-URI"])] * ("WARC-Target-URI" in headers)
+    shared = [("WARC-Refers-To", refers), ("WARC-Date", headers["WARC-Date"])] + ([("WARC-Target-URI", headers["WARC-Target-URI"])] if "WARC-Target-URI" in headers else [])
     title, lang = _TITLE.search(page), _LANG.search(page)
     links = list(dict.fromkeys(entities.unescape(next(g for g in m.groups() if g is not None)) for m in _LINK.finditer(_HIDDEN.sub(" ", page))))
     fields = [("source-payload-digest", headers.get("WARC-Payload-Digest", digest(body))), ("source-block-digest", headers.get("WARC-Block-Digest", digest(block)))]
-    fields += [(f"source-{k.lower()}", v) for k, v in source] + [("title", _BLANKS.sub(" ", entities.unescape(title[1])).strip().replace("\n", " "))] * bool(title) + [("language", lang[1])] * bool(lang)
+    fields += [(f"source-{k.lower()}", v) for k, v in source]
+    if title:
+        fields.append(("title", " ".join(entities.unescape(title[1]).split())))
+    if lang:
+        fields.append(("language", lang[1]))
     fields += [("outlink", re.sub(r"[\r\n]+", "", x)) for x in links]
     text = plain_text(page).encode()
     out = []
