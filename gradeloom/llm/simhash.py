@@ -133,9 +133,8 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     return fps.join(label, "fp").select(key, "row_hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle: int = 3, budget: int = 3) -> DataFrame:
-    """docs with one row of each component: the one with the smallest key (of several, the one with the smallest text hash)."""
-    groups = near_duplicates(docs, text=text, key=key, shingle=shingle, budget=budget)
+def one_of_each(docs: DataFrame, groups: DataFrame, text: str, key: str) -> DataFrame:
+    """docs with one row of each component of groups: the one with the smallest key (of several, the one with the smallest text hash)."""
     stay = groups.groupBy("component_id").agg(F.min(F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col("row_hash").alias("h"))).alias("s"))
     stay = stay.select(F.col("s.k").alias("__sim_key"), F.col("s.h").alias("__sim_hash"))
     marked = docs.withColumn("__sim_hash", F.xxhash64(F.col(text)))
@@ -143,5 +142,10 @@ def deduplicated(docs: DataFrame, *, text: str = "text", key: str = "doc_id", sh
     return kept.dropDuplicates([key, "__sim_hash"]).drop("__sim_hash")
 
 
+def deduplicated(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle: int = 3, budget: int = 3) -> DataFrame:
+    """docs with one row of each component."""
+    return one_of_each(docs, near_duplicates(docs, text=text, key=key, shingle=shingle, budget=budget), text, key)
+
+
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "fingerprint", "component_id")

@@ -36,9 +36,12 @@ class Groups:
             x = y
 
 
-def trie_links(values: np.ndarray, budget: int, agree=None) -> np.ndarray:
+def trie_links(values: np.ndarray, budget: int, agree=None, more: np.ndarray | None = None, links: list | None = None) -> np.ndarray:
     """Root position of each of the sorted uint64 values: values within the budget of each other are joined, if agree(i, j).
 
+    more: a second word of each value, whose differing bits count towards the budget as well. links: receives the pairs
+    that joined two groups, the nearest of a block first.
+
     Nodes are ranges of the sorted array that share their leading bits. Pairs of nodes are walked together from the
     root; the bits in which their prefixes differ add up, and a pair is left once they pass the budget. Pairs whose
     members all are in one group already have nothing to add and are left as well.
@@ -54,10 +57,22 @@ def trie_links(values: np.ndarray, budget: int, agree=None) -> np.ndarray:
         if (b - a) * (d - c) <= LEAF or bit < 0:
             if same and b - a == 1:
                 continue
-            near = np.bitwise_count(values[a:b, None] ^ values[None, c:d]) <= budget
-            for i, j in zip(*np.nonzero(near), strict=True):
+            apart = np.bitwise_count(values[a:b, None] ^ values[None, c:d])
+            if more is not None:
+                apart = apart + np.bitwise_count(more[a:b, None] ^ more[None, c:d])
+            at = np.nonzero(apart <= budget)
+            if links is not None:
+                order = np.argsort(apart[at], kind="stable")
+                at = at[0][order], at[1][order]
+            r, s = groups.roots(a, b)[at[0]], groups.roots(c, d)[at[1]]
+            open_ = np.flatnonzero(r != s)
+            if agree is None:  # of pairs between the same two groups, one is enough
+                open_ = open_[np.sort(np.unique(r[open_] * n + s[open_], return_index=True)[1])]
+            for i, j in zip(at[0][open_], at[1][open_], strict=True):
                 i, j = a + int(i), c + int(j)
                 if (not same or i < j) and (agree is None or (groups.find(i) != groups.find(j) and agree(i, j))):
+                    if links is not None and groups.find(i) != groups.find(j):
+                        links.append((i, j))
                     groups.join(i, j)
             continue
         r = groups.roots(a, b)

@@ -9,7 +9,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from gradeloom.llm import decontaminate, lines, lm, media, mixing, quality, sharding, simhash, tokenize, trie, warc
+from gradeloom.llm import decontaminate, lines, lm, media, mixing, nearcopies, quality, sharding, simhash, tokenize, trie, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TEXT = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen"
@@ -93,6 +93,33 @@ def test_simhash_components(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_near_copies_of_similarity_from_0_8(spark, docs, empty):
+    import random
+
+    draw, rows = random.Random(4), []
+    for i in range(60):
+        words = [f"w{draw.randrange(10**6)}" for _ in range(draw.choice([60, 150, 600]))]
+        rows.append((3 * i, " ".join(words)))
+        at = draw.randrange(len(words) - 4)
+        rows.append((3 * i + 1, " ".join(words[:at] + ["changed"] + words[at + 1 :]).upper() if i % 2 else " ".join(words)))
+        rows.append((3 * i + 2, " ".join(words[: len(words) // 2] + [f"v{draw.randrange(10**6)}" for _ in words[len(words) // 2 :]])))
+
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+    got = {r.doc_id: r.component_id for r in nearcopies.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    sets = {i: shingles(t) for i, t in rows}
+    for a in range(0, 180, 3):
+        for b in (a + 1, a + 2):
+            j = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+            assert not 0.5 < j < 0.8 and (got[a] == got[b]) == (j >= 0.8), (a, b, j)
+    assert len(set(got.values())) == 120
+    assert len(nearcopies.near_copies(docs).collect()) == docs.count() and nearcopies.near_copies(empty).count() == 0
+    kept = [r.doc_id for r in nearcopies.deduplicated(docs).collect()]
+    assert kept.count(0) == 1 and kept.count(3) == 1 and not {1, 2, 4} & set(kept)
+
+
 def test_trie_joins_what_brute_force_joins():
     import numpy as np
 
