@@ -21,6 +21,22 @@ def queries() -> dict:
     return {f.__name__: f for f in own} | {"pipeline": run}
 
 
+#: Windows of items and of documents as joined words, then hit words, their longest run, and items by document.
+_OP10 = r"""
+WITH b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+win AS (SELECT item_id, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT *, least(13, len(w)) AS n FROM b WHERE len(w) > 0) AS s) AS t),
+occ AS (SELECT DISTINCT x.doc_id, x.i, x.n, win.item_id FROM (SELECT doc_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM win) AS l) AS t) AS x JOIN win ON win.n = x.n AND win.g = x.g),
+hit AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM occ),
+runs AS (SELECT doc_id, count(*) AS k FROM (SELECT doc_id, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS island FROM hit) AS t GROUP BY doc_id, island),
+hits AS (SELECT doc_id, sum(k) AS n_hit, max(k) AS longest FROM runs GROUP BY doc_id),
+items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',') AS ids FROM occ GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated, CAST(coalesce(longest, 0) AS BIGINT) AS longest_match
+FROM d LEFT JOIN hits ON hits.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """None: fingerprints, learned models, file formats, and the exact shuffle and cut of a mix are beyond SQL."""
-    return {}
+    """Decontamination alone: hashes, learned models, file formats and hash orders of the others are beyond DuckDB's SQL."""
+    return {"op10_decontaminate": _OP10}

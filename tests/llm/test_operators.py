@@ -158,6 +158,21 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.mark_contaminated(empty, items).count() == 0
 
 
+def test_decontamination_is_what_sql_gives(spark):
+    import duckdb
+
+    from gradeloom.llm import queries
+
+    d, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{d}/{t}.parquet'")
+    got = decontaminate.op10_decontaminate(spark, d)
+    want = con.execute(queries.oracle_sql()["op10_decontaminate"])
+    names = [c[0] for c in want.description]
+    assert sorted(names) == sorted(got.columns)
+    assert sorted(tuple(r) for r in got.select(*names).collect()) == sorted(want.fetchall())
+
+
 def test_tokens_are_those_of_whole_texts(docs, empty):
     import numpy as np
     import public_tokenizers
