@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from gradeloom.operators import grouped
-from gradeloom.plans import domain, relational
+from gradeloom.plans import authoring, domain, relational
 from gradeloom.plans.evidence import query, rendered
 
-_SQL = {**relational.SQL, **{k: v if isinstance(v, str) else v[0] for k, v in domain.SQL.items()}}
-_DUCK = {**relational.SQL, **{k: v if isinstance(v, str) else v[1] for k, v in domain.SQL.items()}}
+_ALL = {**relational.SQL, **domain.SQL, **authoring.SQL}
+_SQL, _DUCK = ({k: v if isinstance(v, str) else v[i] for k, v in _ALL.items()} for i in (0, 1))
 
 
 def queries() -> dict:

@@ -33,6 +33,11 @@ _FORMS = {
     "SPACES": ("split({}, '[ \\\\n]+')", "string_split_regex({}, '[ \\n]+')"),
     "JOINED": ("array_join({}, ',')", "array_to_string({}, ',')"),
     "DISTINCT": ("array_sort(array_distinct({}))", "list_sort(list_distinct({}))"),
+    "INTER": ("array_intersect({})", "list_intersect({})"),
+    "UNITE": ("array_union({})", "list_distinct(list_concat({}))"),
+    "EXTALL": ("regexp_extract_all({}, 0)", "regexp_extract_all({})"),
+    "RALL": ("regexp_replace({})", "regexp_replace({}, 'g')"),
+    "EACH": ("explode({})", "unnest({})"),
     "ISO": ("date_format({}, \"yyyy-MM-dd'T'HH:mm:ss\")", "strftime({}, '%Y-%m-%dT%H:%M:%S')"),
 }
 _CALL = re.compile(r"@(\w+)\(((?:[^()]|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))*)\)")
@@ -41,6 +46,7 @@ _CALL = re.compile(r"@(\w+)\(((?:[^()]|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))
 def rendered(sql: str, duck: bool) -> str:
     """The query with its views in front, in one dialect."""
     text = f"WITH RECURSIVE {VIEWS}, {sql[5:]}" if sql.startswith("WITH ") else f"WITH RECURSIVE {VIEWS} {sql}"
+    text = text.replace("@RLIKE", "SIMILAR TO" if duck else "RLIKE")
     while m := _CALL.search(text):
         text = text[: m.start()] + _FORMS[m[1]][duck].format(m[2]) + text[m.end() :]
     return text

@@ -7,10 +7,10 @@ import os
 import duckdb
 import pytest
 
-from gradeloom.plans import catalog
+from gradeloom.plans import authoring, catalog
 
 DATA = "/root/testdata/sf0.001"
-PICKED = ["src2_observation_log", "snk1_mastery_upsert", "pf9_mastery_state", "j8_roster_left_latest", "a7_nearest_rank", "a9_weighted_kappa", "a15_point_biserial", "a22_programme_outcome", "w7_rate_limit", "w6_trajectories", "o2_contested", "u8_rubric_diff", "k3_trace_students", "k4_propagate_once", "k7_auc", "g1_root_gap", "g2_recommend", "g8_gap_depth", "r1_risk", "e11_gate_routing", "i3_pair_similarity", "ma4_cosine", "d1_late_seconds"]
+PICKED = ["src2_observation_log", "snk1_mastery_upsert", "pf9_mastery_state", "j8_roster_left_latest", "a7_nearest_rank", "a9_weighted_kappa", "a15_point_biserial", "a22_programme_outcome", "w7_rate_limit", "w6_trajectories", "o2_contested", "u8_rubric_diff", "k3_trace_students", "k4_propagate_once", "k7_auc", "g1_root_gap", "g2_recommend", "g8_gap_depth", "r1_risk", "e11_gate_routing", "i3_pair_similarity", "ma4_cosine", "d1_late_seconds", *authoring.SQL]
 
 
 def plain(rows):
