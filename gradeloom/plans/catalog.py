@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from gradeloom.operators import grouped
+from gradeloom.operators import briefs, clusters, grouped, refresh, source
 from gradeloom.plans import authoring, domain, relational
 from gradeloom.plans.evidence import query, rendered
+from gradeloom.sources import fixtures
+from gradeloom.streaming import mastery
 
 _ALL = {**relational.SQL, **domain.SQL, **authoring.SQL}
 _SQL, _DUCK = ({k: v if isinstance(v, str) else v[i] for k, v in _ALL.items()} for i in (0, 1))
@@ -12,8 +14,12 @@ _SQL, _DUCK = ({k: v if isinstance(v, str) else v[i] for k, v in _ALL.items()} f
 
 def queries() -> dict:
     """SQL queries by name, then those that need grouped Python functions or a stream."""
-    return {name: query(sql) for name, sql in _SQL.items()} | grouped.queries()
+    found = {name: query(sql) for name, sql in _SQL.items()}
+    for part in (grouped, source, briefs, clusters, refresh, fixtures, mastery):
+        found |= part.queries()
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: rendered(sql, duck=True) for name, sql in _DUCK.items()}
+    written = {"snk9_attainment_csv": refresh.ATTAINMENT}
+    return {name: rendered(sql, duck=True) for name, sql in (_DUCK | written).items()}
