@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from gradeloom.functions import checks
 from gradeloom.operators import briefs, clusters, grouped, refresh, source
 from gradeloom.plans import authoring, domain, relational
 from gradeloom.plans.evidence import query, rendered
@@ -15,7 +16,7 @@ _SQL, _DUCK = ({k: v if isinstance(v, str) else v[i] for k, v in _ALL.items()} f
 def queries() -> dict:
     """SQL queries by name, then those that need grouped Python functions or a stream."""
     found = {name: query(sql) for name, sql in _SQL.items()}
-    for part in (grouped, source, briefs, clusters, refresh, fixtures, mastery):
+    for part in (grouped, source, briefs, clusters, refresh, fixtures, mastery, checks):
         found |= part.queries()
     return found
 
