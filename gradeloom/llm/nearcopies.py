@@ -1,12 +1,14 @@
-"""Near copies by word-shingle similarity: wide SimHashes, binary tries on permuted bits, components.
+"""Near copies by word-shingle similarity: MinHash bands, loose candidate groups, exact Jaccard, components.
 
 The 3-bit rule of `simhash.near_duplicates` joins copies that are all but equal. Here two texts are near copies from a
-similarity (Jaccard of their sets of five-word shingles) of 0.8 on. At 0.8 about 15 % of SimHash bits differ, so no
-block of a pigeonhole split is sure to agree; each of `TABLES` tables draws `KEY_BITS` of 128 bits instead, texts that
-agree on them share a subtree, and each subtree is walked as a trie within the error budget. Links are then held
-against `WIDE` words of 64 bits. All parameters are the same at every size.
-
-A pair at similarity 0.8 agrees in one table or more with probability 0.97, at 0.85 with 0.998.
+similarity (Jaccard of their sets of five-word shingles) of `SIMILARITY` on. Texts that agree on all `ROWS` least hashes
+of one of `BANDS` bands meet in a bucket; what is linked there by a loose estimate, over any number of steps, is a
+candidate group and no more. Within each candidate group all pairs are then compared by the exact similarity of their
+shingle sets, pairs that verified links have joined already excepted, and only verified links join. All parameters are
+the same at every size.
+
+Least hashes agree with the probability of the similarity, whatever the size of the sets, and those of the bands are
+independent: a pair at 0.8 meets in a bucket with probability 0.9993.
 """
 
 from __future__ import annotations
@@ -18,19 +20,19 @@ from pyspark.sql import DataFrame, functions as F
 from gradeloom.llm import bytetext as B
 from gradeloom.llm.components import components
 from gradeloom.llm.simhash import one_of_each
-from gradeloom.llm.trie import trie_links
 from gradeloom.runtime import ship, stored
 
 SHINGLE = 5
-TABLES, KEY_BITS = 96, 20
-#: Differing bits allowed in the 128 bits of a subtree's members: two deviations above the mean at 0.8.
-BUDGET = 24
-#: Words of the wide fingerprint, and differing bits allowed in it: 15.2 % of bits differ at 0.8, 18.9 % at 0.7.
-WIDE, WIDE_BUDGET = 8, 89
+#: Near copies share 4 of 5 of their shingles: 9 * shared >= 4 * (both sizes added).
+SIMILARITY = 0.8
+BANDS, ROWS = 24, 6
+#: One byte of so many least hashes is the sketch; in a bucket, texts that agree on LOOSE of them are candidates: 3.5 deviations below the mean at 0.8.
+SKETCH, LOOSE = 64, 40
+_FACTORS = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def wide_fingerprints(piece: pa.RecordBatch, text: str, shingle: int) -> np.ndarray:
-    """(rows, WIDE) words: SimHash of each text's set of shingles; fewer words than a shingle: all of them; none: 0."""
+def shingle_sets(piece: pa.RecordBatch, text: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's set of shingle hashes, in ascending order, one after the other, and their sizes; fewer words than a shingle: all of them."""
     raw, at = B.utf8(piece.column(text))
     low = B.LOWER[raw]
     starts, ends, row = B.word_bounds(low, at, B.NOT_SPACE)
@@ -38,136 +40,187 @@ def wide_fingerprints(piece: pa.RecordBatch, text: str, shingle: int) -> np.ndar
     count = np.bincount(row, minlength=piece.num_rows)
     first = np.cumsum(count) - count
     h = np.zeros(len(words), np.uint64)
-    for k in range(shingle):  # words past the text's end add nothing
+    for k in range(min(shingle, len(words))):  # words past the text's end add nothing
         part = B.mix64(words[k:] + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
         h[: len(words) - k] += np.where(row[k:] == row[: len(words) - k], part, np.uint64(0))
-    out = np.zeros((piece.num_rows, WIDE), np.uint64)
-    for i in np.flatnonzero(count):
-        own = np.unique(h[first[i] : first[i] + max(1, count[i] - shingle + 1)])
-        for w in range(WIDE):
-            votes = np.zeros(64, np.int64)
-            for k in range(0, len(own), 1 << 15):
-                bits = B.mix64(own[k : k + (1 << 15)] + np.uint64((w + 1) * 0xD6E8FEB86659FD93 % (1 << 64)))
-                votes += np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-            out[i, w] = np.packbits(2 * votes > len(own), bitorder="little").view(np.uint64)[0]
-    return out
+    h = B.mix64(h)
+    own = [np.unique(h[a : a + max(1, n - shingle + 1)]) if n else h[:0] for a, n in zip(first.tolist(), count.tolist(), strict=True)]
+    return np.concatenate([h[:0], *own]), np.array([len(x) for x in own], np.int64)
 
 
-def table_bits() -> list[np.ndarray]:
-    """The bits (0 to 127) that each table draws."""
-    draw = np.random.Generator(np.random.PCG64(5))
-    return [draw.permutation(128)[:KEY_BITS] for _ in range(TABLES)]
+def band_keys(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sets, BANDS) keys and (sets, SKETCH) bytes of sets, none of them empty."""
+    begin = np.cumsum(sizes) - sizes
+    keys, sketch = np.empty((len(sizes), BANDS), np.uint64), np.empty((len(sizes), SKETCH), np.uint8)
+    for k, factor in enumerate(_FACTORS):
+        # a product's low bits depend on the set's low bits alone: mix before they are used
+        least = B.mix64(np.minimum.reduceat(values * factor, begin))
+        if k < SKETCH:
+            sketch[:, k] = least.astype(np.uint8)
+        band = k // ROWS
+        keys[:, band] = B.mix64((keys[:, band] if k % ROWS else np.uint64(band)) + least)
+    return keys, sketch
 
 
 def fingerprints(docs: DataFrame, *, text: str, key: str, shingle: int) -> DataFrame:
-    """key, row_hash (of the text), node (the wide fingerprint's hash), f (the fingerprint) of every row."""
+    """key, row_hash (of the text), node (of the shingle set) and f (band keys, then the sketch; no words: null) of every row."""
     ship(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            for part in B.slices(batch, text):
-                f = wide_fingerprints(part, text, shingle)
-                node = np.zeros(len(f), np.uint64)
-                for w in range(WIDE):
-                    node = B.mix64(node * np.uint64(0x9E3779B97F4A7C15) + f[:, w] + np.uint64(1))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(key), part.column("row_hash"), pa.array(node.view(np.int64)), pa.array([x.tobytes() for x in f], pa.binary())], [key, "row_hash", "node", "f"]
-                )
+            for part in B.slices(batch, text, 1 << 20):
+                values, sizes = shingle_sets(part, text, shingle)
+                node, f = np.zeros(len(sizes), np.uint64), [None] * len(sizes)
+                at = np.flatnonzero(sizes)
+                if len(at):
+                    some = sizes[at]
+                    node[at] = B.mix64(np.add.reduceat(B.mix64(values + np.uint64(0xD6E8FEB86659FD93)), np.cumsum(some) - some) + some.astype(np.uint64))
+                    keys, sketch = band_keys(values, some)
+                    for i, x, y in zip(at.tolist(), keys, sketch, strict=True):
+                        f[i] = x.tobytes() + y.tobytes()
+                yield pa.RecordBatch.from_arrays([part.column(key), part.column("row_hash"), pa.array(node.view(np.int64)), pa.array(f, pa.binary())], [key, "row_hash", "node", "f"])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text, F.xxhash64(F.col(text)).alias("row_hash")).mapInArrow(run, f"`{key}` {kind}, row_hash bigint, node bigint, f binary")
 
 
 def _dealt(nodes: DataFrame) -> DataFrame:
-    """k (table and drawn bits), node, f0 and f1: each node once per table."""
-    drawn = table_bits()
+    """k (band key), node and s (sketch): each node that has words once per band."""
 
     def run(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 1 << 13):
                 part = batch.slice(i, 1 << 13)
-                f = np.frombuffer(b"".join(x[:16] for x in part.column("f").to_pylist()), np.uint64).reshape(-1, 2)
-                for t, bits in enumerate(drawn):
-                    k = np.full(len(f), t, np.uint64)
-                    for b in bits:
-                        k = (k << np.uint64(1)) | ((f[:, b >> 6] >> np.uint64(b & 63)) & np.uint64(1))
-                    yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), part.column("node"), pa.array(f[:, 0].copy().view(np.int64)), pa.array(f[:, 1].copy().view(np.int64))], ["k", "node", "f0", "f1"])
-
-    return nodes.select("node", "f").mapInArrow(run, "k bigint, node bigint, f0 bigint, f1 bigint")
-
-
-def _subtree(node: np.ndarray, f0: np.ndarray, f1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ends of the links of one subtree: one fewer than the members of each group found."""
-    order = np.lexsort((node, f1, f0))
-    links: list = []
-    trie_links(f0[order], BUDGET, more=f1[order], links=links)
-    if not links:
-        return node[:0], node[:0]
-    at = order[np.array(links)]
-    return node[at[:, 0]], node[at[:, 1]]
+                f = np.frombuffer(b"".join(part.column("f").to_pylist()), np.uint8).reshape(-1, 8 * BANDS + SKETCH)
+                keys, s = np.ascontiguousarray(f[:, : 8 * BANDS]).view(np.int64), pa.array([x.tobytes() for x in f[:, 8 * BANDS :]], pa.binary())
+                for band in range(BANDS):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[:, band].copy()), part.column("node"), s], ["k", "node", "s"])
+
+    return nodes.filter("f is not null").select("node", "f").mapInArrow(run, "k bigint, node bigint, s binary")
+
+
+def _joined(n: int, near) -> np.ndarray:
+    """Group of each of n members, named by a member; near(i, far): which of the later members far are linked to i. Members of i's group are not asked for again."""
+    group, left = np.arange(n), n
+    for i in range(n):
+        if left == 1:
+            break
+        far = i + 1 + np.flatnonzero(group[i + 1 :] != group[i])
+        if not len(far):
+            continue
+        found = np.unique(group[near(i, far)])
+        if len(found):
+            group[np.isin(group, found)] = group[i]
+            left -= len(found)
+    return group
+
+
+def _whole(batches, by: str):
+    """Batches that hold whole runs of equal `by`."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = batch.column(by).to_numpy()
+        last = int(np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))[-1])  # the last run may go on in the next batch
+        if held and held[-1].column(by)[0].as_py() != k[0]:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+        if last:
+            yield pa.Table.from_batches([*held, batch.slice(0, last)]).combine_chunks()
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def candidate_links(nodes: DataFrame) -> DataFrame:
-    """Links (a, b) of nodes within the budget in some subtree; a task holds 24 bytes per member of its largest subtree."""
-
-    def solve(k, node, f0, f1):
-        """The links of whole subtrees, in order of k."""
-        edge = np.concatenate([[0], np.flatnonzero(np.diff(k)) + 1, [len(k)]])
-        size = np.diff(edge)
-        pair = edge[:-1][size == 2]
-        near = np.bitwise_count(f0[pair] ^ f0[pair + 1]).astype(np.int64) + np.bitwise_count(f1[pair] ^ f1[pair + 1]) <= BUDGET
-        a, b = [node[pair[near]]], [node[pair[near] + 1]]
-        for i in np.flatnonzero(size > 2):
-            s = slice(edge[i], edge[i + 1])
-            x, y = _subtree(node[s], f0[s], f1[s])
-            a.append(x)
-            b.append(y)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+    """Links (a, b) that join the candidate groups; a task holds SKETCH + 16 bytes per member of its largest bucket."""
 
     def run(batches):
-        held: list[list[np.ndarray]] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            k, node = batch.column("k").to_numpy(), batch.column("node").to_numpy()
-            f0, f1 = (batch.column(c).to_numpy().view(np.uint64) for c in ("f0", "f1"))
-            last = int(np.searchsorted(k, k[-1]))  # the last subtree may go on in the next batch
-            if last or (held and held[-1][0][-1] != k[-1]):
-                whole = [np.concatenate(x) for x in zip(*held, [k[:last], node[:last], f0[:last], f1[:last]], strict=True)]
-                held = []
-                if len(whole[0]):
-                    yield solve(*whole)
-            held.append([k[last:], node[last:], f0[last:], f1[last:]])
-        if held:
-            yield solve(*[np.concatenate(x) for x in zip(*held, strict=True)])
+        for t in _whole(batches, "k"):
+            k, node = t["k"].to_numpy(), t["node"].to_numpy()
+            s = np.frombuffer(b"".join(t["s"].to_pylist()), np.uint8).reshape(-1, SKETCH)
+            edge = np.concatenate([[0], np.flatnonzero(np.diff(k)) + 1, [len(k)]])
+            size = np.diff(edge)
+            pair = edge[:-1][size == 2]
+            pair = pair[(s[pair] == s[pair + 1]).sum(1) >= LOOSE]
+            a, b = [node[pair]], [node[pair + 1]]
+            for i in np.flatnonzero(size > 2):
+                own, at = s[edge[i] : edge[i + 1]], node[edge[i] : edge[i + 1]]
+                group = _joined(len(own), lambda j, far: far[(own[far] == own[j]).sum(1) >= LOOSE])  # noqa: B023
+                moved = np.flatnonzero(group != np.arange(len(own)))
+                a.append(at[group[moved]])
+                b.append(at[moved])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     return _dealt(nodes).repartition("k").sortWithinPartitions("k").mapInArrow(run, "a bigint, b bigint").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def verified_links(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """The links whose wide fingerprints differ in at most WIDE_BUDGET bits."""
+def exact_groups(sets: list[np.ndarray]) -> np.ndarray:
+    """Group of each set, named by a member: sets of similarity SIMILARITY or more are joined, by exact comparison."""
+    size = np.array([len(x) for x in sets])
+    order = np.argsort(size, kind="stable")
+    size = size[order]
+    values, ids = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+    at = np.concatenate([[0], np.cumsum(size)])
+    mine = np.zeros(len(values), np.int32)
+
+    def near(i, far):
+        far = far[: np.searchsorted(size[far], size[i] * 5 // 4, "right")]  # larger sets cannot be similar enough
+        if not len(far):
+            return far
+        mine[own := ids[at[i] : at[i + 1]]] = 1
+        if 4 * len(far) > far[-1] - i:
+            shared = np.add.reduceat(mine[ids[at[i + 1] : at[far[-1] + 1]]], at[i + 1 : far[-1] + 1] - at[i + 1])[far - i - 1]
+        else:
+            shared = np.add.reduceat(mine[np.concatenate([ids[at[j] : at[j + 1]] for j in far])], np.cumsum(size[far]) - size[far])
+        mine[own] = 0
+        return far[9 * shared >= 4 * (size[i] + size[far])]
+
+    out = np.empty(len(sets), np.int64)
+    out[order] = order[_joined(len(sets), near)]
+    return out
 
-    def run(batches):
+
+def verified_roots(docs: DataFrame, members: DataFrame, *, text: str, key: str, shingle: int) -> DataFrame:
+    """node and root (a node) of members joined by exact similarity. members: g (the candidate group), node, and k and h, the key and hash of a text.
+
+    A candidate group's distinct shingle sets, 8 bytes a shingle, are held and compared by one task.
+    """
+
+    def sets(batches):
         for batch in batches:
-            f, g = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, WIDE) for c in ("f", "g"))
-            near = np.bitwise_count(f ^ g).sum(1, dtype=np.int64) <= WIDE_BUDGET
-            yield batch.select(["a", "b"]).filter(pa.array(near))
+            for part in B.slices(batch, "t"):
+                values, sizes = shingle_sets(part, "t", shingle)
+                end = np.cumsum(sizes)
+                own = [values[b - n : b].tobytes() for b, n in zip(end.tolist(), sizes.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("g"), part.column("node"), pa.array(own, pa.binary())], ["g", "node", "s"])
+
+    def solve(batches):
+        for t in _whole(batches, "g"):
+            g, node, s = t["g"].to_numpy(), t["node"].to_numpy(), [np.frombuffer(x.as_buffer(), np.uint64) for x in t["s"]]
+            edge = np.concatenate([[0], np.flatnonzero(np.diff(g)) + 1, [len(g)]])
+            root = np.concatenate([node[a:b][exact_groups(s[a:b])] for a, b in zip(edge[:-1], edge[1:], strict=True)])
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], ["node", "root"])
 
-    both = links.join(nodes.select(F.col("node").alias("a"), "f"), "a").join(nodes.select(F.col("node").alias("b"), F.col("f").alias("g")), "b")
-    return both.select("a", "b", "f", "g").mapInArrow(run, "a bigint, b bigint")
+    own = docs.select(F.col(key).alias("k1"), F.xxhash64(text).alias("h1"), F.col(text).alias("t"))
+    with_text = own.join(members, F.col("k1").eqNullSafe(F.col("k")) & (F.col("h1") == F.col("h"))).select("g", "node", "t")
+    return with_text.mapInArrow(sets, "g bigint, node bigint, s binary").dropDuplicates(["node"]).repartition("g").sortWithinPartitions("g").mapInArrow(solve, "node bigint, root bigint")
 
 
 def near_copies(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
     """key, row_hash and component_id (the smallest key reachable) of every row.
 
-    Null and empty texts, and texts of white space, are copies of each other. Equal shingle sets share a fingerprint and
+    Null and empty texts, and texts of white space, are copies of each other. Equal shingle sets share a node and
     meet before the join. Null keys are never a component's id unless all of its keys are null. Repeated rows stay. An
     empty table gives an empty result.
     """
     fps = stored(fingerprints(docs, text=text, key=key, shingle=shingle), "near")
-    nodes = stored(fps.groupBy("node").agg(F.min(key).alias("least"), F.first("f").alias("f")), "near-nodes")
+    nodes = stored(fps.groupBy("node").agg(F.min(key).alias("least"), F.first("f").alias("f"), F.min(F.struct(F.col(key).alias("k"), F.col("row_hash").alias("h"))).alias("one")), "near-nodes")
     links = stored(candidate_links(nodes), "near-links")
-    roots = components(verified_links(nodes, links))
+    members = components(links).withColumnRenamed("root", "g").join(nodes.select("node", "one.k", "one.h"), "node")
+    roots = stored(verified_roots(docs, members, text=text, key=key, shingle=shingle), "near-roots")
     named = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     label = stored(named.join(least, "root").select("node", "component_id"), "near-labels")

@@ -120,6 +120,24 @@ def test_near_copies_of_similarity_from_0_8(spark, docs, empty):
     assert kept.count(0) == 1 and kept.count(3) == 1 and not {1, 2, 4} & set(kept)
 
 
+def family(shared, own, changed, pairs):
+    """Texts of `shared` common words and `own` words of their own, each with a copy whose last `changed` words differ: ids 2 i and 2 i + 1."""
+    rows, common = [], [f"c{k}" for k in range(shared)]
+    for i in range(pairs):
+        text = common + [f"t{i}x{k}" for k in range(own)]
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(text[: len(text) - changed] + [f"u{i}x{k}" for k in range(changed)]))]
+    return rows
+
+
+def copies(spark, rows):
+    return {r.doc_id: r.component_id for r in nearcopies.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+
+
+def test_texts_that_share_boilerplate_are_no_near_copies(spark):
+    got = copies(spark, family(204, 43, 18, 150))  # 0.70 within the family, 0.86 of each pair
+    assert all(got[i] // 2 == i // 2 for i in got)
+
+
 def test_trie_joins_what_brute_force_joins():
     import numpy as np
 
