@@ -138,6 +138,11 @@ def test_texts_that_share_boilerplate_are_no_near_copies(spark):
     assert all(got[i] // 2 == i // 2 for i in got)
 
 
+def test_near_copies_within_a_family_are_found(spark):
+    got = copies(spark, family(204, 65, 20, 300))  # 0.61 within the family, 0.86 of each pair
+    assert all(got[i] == i - i % 2 for i in got)
+
+
 def test_trie_joins_what_brute_force_joins():
     import numpy as np
 
