@@ -143,6 +143,15 @@ def test_near_copies_within_a_family_are_found(spark):
     assert all(got[i] == i - i % 2 for i in got)
 
 
+def test_pairs_just_from_0_8_are_found(spark):
+    long = family(0, 104, 11, 400)  # 89 of 111 shingles
+    short = [(1000 + 2 * i + k, " ".join(f"s{i}x{j}" for j in range(8 + k))) for i in range(400) for k in (0, 1)]  # 4 of 5
+    got = copies(spark, long + short)
+    for ids in (range(0, 800, 2), range(1000, 1800, 2)):
+        assert sum(got[i] == got[i + 1] for i in ids) >= 0.98 * len(ids)
+    assert all(got[i] // 2 == i // 2 for i in got)
+
+
 def test_trie_joins_what_brute_force_joins():
     import numpy as np
 
