@@ -3,8 +3,9 @@
 Counting: every task merges its n-grams' 64-bit hashes in memory and emits sorted arrays by hash range; ranges are
 merged by their own tasks. An n-gram of count c has level 1 + floor(log_b c) and is entered in the filter once for each
 level up to its own; a count is read by probing levels 1, 2, ... until one is missing. The filter is a set of segments
-by hash range, built where the range was merged, and broadcast; its size is bounded by `FILTER_BYTES`: where it would
-be larger, the least count that enters is doubled until it is not.
+by hash range, built where the range was merged and left in the shared folder. All n-grams enter. Segments of up to
+`FILTER_BYTES` in all are broadcast at a time; where there are more, the texts are read once per share of the segments,
+and the levels found so far go along with them, one byte for each token's uni- and bigram.
 
 Exact token counts, for the base score, never leave the executors as a whole: the tokens whose count is at least a
 threshold that at most `HEAD_TOKENS` reach are broadcast, all others are joined by hash.
@@ -19,15 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gradeloom.llm import bytetext as B
-from gradeloom.runtime import ship, stored
+from gradeloom.runtime import dropped, run_folder, ship, stored
 
 HEAD_TOKENS = 1 << 20
 FILTER_BYTES = 128 << 20
 #: Bits and probes of an entry: about one false level in 400.
 BITS, PROBES = 12.5, 9
 LOG_BASE = 1.5
-#: Bigrams seen once are left to the lower order.
-LEAST = (1, 2)
 #: Share of the bigram's relative count in the smoothed probability; the rest is the token's own add-one probability.
 SHARE = 0.2
 END = np.uint64(0x9E3779B97F4A7C15)
@@ -121,10 +120,7 @@ class Filter:
 
 
 def count_ngrams(docs: DataFrame, text: str, bits: int) -> DataFrame:
-    """ord (1, 2), part (leading bits of the hash), and sorted hashes and counts of all n-grams of that range, stored.
-
-    Bigrams under LEAST are left out of what is stored, after all of their counts are summed.
-    """
+    """ord (1, 2), part (leading bits of the hash), and sorted hashes and counts of all n-grams of that range, stored."""
     shift = np.uint64(64 - bits)
 
     def count(batches):
@@ -163,8 +159,7 @@ def count_ngrams(docs: DataFrame, text: str, bits: int) -> DataFrame:
 
         def done():
             k, c = _merged(ks, cs)
-            keep = c >= LEAST[now[0] - 1]
-            yield pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int64()), pa.array([k[keep].tobytes()], pa.binary()), pa.array([c[keep].astype(np.int64).tobytes()], pa.binary())], ["ord", "part", "k", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int64()), pa.array([k.tobytes()], pa.binary()), pa.array([c.astype(np.int64).tobytes()], pa.binary())], ["ord", "part", "k", "c"])
 
         for batch in batches:
             for o, p, k, c in zip(*[batch.column(i) for i in range(4)], strict=True):
@@ -190,31 +185,65 @@ def _unigrams(counts: DataFrame) -> DataFrame:
     return counts.filter("ord = 1").select("k", "c").mapInArrow(run, "h bigint, c bigint")
 
 
-def _filter_segments(counts: DataFrame, least: int) -> DataFrame:
+def _filter_segments(counts: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for o, p, k, c in zip(*[batch.column(i) for i in ("ord", "part", "k", "c")], strict=True):
                 keys, n = np.frombuffer(k.as_buffer(), np.uint64), np.frombuffer(c.as_buffer(), np.int64)
-                keep = n >= least
-                bits, data = Filter.segment(keys[keep], level(n[keep]))
+                bits, data = Filter.segment(keys, level(n))
                 yield pa.RecordBatch.from_arrays([pa.array([o.as_py()], pa.int32()), pa.array([p.as_py()], pa.int64()), pa.array([bits], pa.int64()), pa.array([data], pa.binary())], ["ord", "part", "bits", "data"])
 
     return counts.mapInArrow(run, "ord int, part bigint, bits bigint, data binary")
 
 
-def _entries(counts: DataFrame) -> dict[int, int]:
-    """Filter entries by the least count (a power of two) at which they enter."""
+def _shares(segments: DataFrame) -> list[list[tuple[int, int]]]:
+    """(ord, part) of all segments, in shares of at most FILTER_BYTES, one segment at least."""
+    out, left = [[]], FILTER_BYTES
+    for o, p, n in sorted(segments.select("ord", "part", F.octet_length("data")).toLocalIterator()):
+        if out[-1] and n > left:
+            out.append([])
+            left = FILTER_BYTES
+        out[-1].append((o, p))
+        left -= n
+    return out
+
+
+def _share(segments: DataFrame, share: list[tuple[int, int]], bits: int) -> tuple[Filter, Filter]:
+    """The filters of uni- and bigrams of a share; n-grams of other shares have level 0 in them."""
+    found: dict[int, dict] = {1: {}, 2: {}}
+    if share:
+        lo, hi = (F.struct(F.lit(o).cast("int"), F.lit(p).cast("long")) for o, p in (share[0], share[-1]))
+        parts = segments.filter(F.struct("ord", "part").between(lo, hi)).toArrow()
+        for o, p, b, d in zip(*[parts.column(c).to_pylist() for c in ("ord", "part", "bits", "data")], strict=True):
+            found[o][p] = (b, d)
+    return Filter(64 - bits, found[1]), Filter(64 - bits, found[2])
+
+
+def _levels(piece: pa.RecordBatch, one: Filter, two: Filter, keys: np.ndarray, back: np.ndarray, pairs: np.ndarray, pair_back: np.ndarray) -> np.ndarray:
+    """(2, tokens): levels of each token and its bigram, in these filters or in those of the shares before."""
+    now = np.stack([one.levels(keys)[back], two.levels(pairs)[pair_back]]).astype(np.uint8)
+    held = piece.column("lv").to_pylist()
+    if held and held[0] is not None:
+        now = np.maximum(now, np.frombuffer(b"".join(held), np.uint8).reshape(-1, 2).T)
+    return now
+
+
+def _passed(rows: DataFrame, text: str, shared) -> DataFrame:
+    """rows with the levels that this share's filters add."""
 
     def run(batches):
-        total = np.zeros(40, np.int64)
+        one, two = shared.value
         for batch in batches:
-            for c in batch.column("c"):
-                n = np.frombuffer(c.as_buffer(), np.int64)
-                total += np.bincount(np.floor(np.log2(n)).astype(np.int64), level(n), 40).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(40)), pa.array(total)], ["p", "n"])
+            for piece in B.slices(batch, text):
+                words, size = tokens(piece, text)
+                keys, back = np.unique(words, return_inverse=True)
+                pairs, pair_back = np.unique(bigrams(words, size), return_inverse=True)
+                lv = _levels(piece, one, two, keys, back, pairs, pair_back).T
+                end = np.cumsum(size)
+                own = [lv[b - n : b].tobytes() for b, n in zip(end.tolist(), size.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()) if c == "lv" else piece.column(c) for c in piece.schema.names], piece.schema.names)
 
-    rows = counts.select("c").mapInArrow(run, "p bigint, n bigint").groupBy("p").agg(F.sum("n").alias("n")).collect()
-    return {1 << r["p"]: sum(x["n"] for x in rows if x["p"] >= r["p"]) for r in rows}
+    return rows.mapInArrow(run, rows.schema)
 
 
 def score_texts(docs: DataFrame, *, text: str = "text", key: str = "doc_id", folds: int = 7, held: int = 2) -> DataFrame:
@@ -238,21 +267,29 @@ def score_texts(docs: DataFrame, *, text: str = "text", key: str = "doc_id", fol
     head = unigrams.filter(F.col("c") >= head_from).toArrow()
     order = np.argsort(head_h := head.column("h").to_numpy().view(np.uint64))
     head_h, head_c = head_h[order], head.column("c").to_numpy()[order]
-    entries, least = _entries(counts), 1
-    while entries and min((v for x, v in entries.items() if x >= least), key=lambda v: -v, default=0) * BITS / 8 > FILTER_BYTES:
-        least *= 2
-    parts = _filter_segments(counts, least).toArrow()
-    segments: dict[int, dict] = {1: {}, 2: {}}
-    for o, p, b, d in zip(*[parts.column(c).to_pylist() for c in ("ord", "part", "bits", "data")], strict=True):
-        segments[o][p] = (b, d)
-    del parts
-    shared = spark.sparkContext.broadcast((head_h, head_c, Filter(64 - bits, segments[1]), Filter(64 - bits, segments[2])))
-    del segments, head
+    segments = stored(_filter_segments(counts), "segments")
+    rows = own.withColumn("rid", F.monotonically_increasing_id()).withColumn("lv", F.lit(None).cast("binary"))
+    *others, last = _shares(segments)
+    end_level, before = 0, None
+    for share in others:
+        filters = _share(segments, share, bits)
+        end_level = max(end_level, int(filters[0].levels(np.array([END]))[0]))
+        shared, path = spark.sparkContext.broadcast(filters), run_folder(spark, "lm-levels")
+        del filters
+        _passed(rows, text, shared).write.parquet(path)
+        rows = spark.read.schema(rows.schema).parquet(path)
+        shared.destroy()
+        if before:
+            dropped(spark, before)
+        before = path
+    filters = _share(segments, last, bits)
+    end_count = float(level_count(np.array([max(end_level, int(filters[0].levels(np.array([END]))[0]))]))[0])
+    shared = spark.sparkContext.broadcast((head_h, head_c, *filters))
+    del filters, head
     floor = n_all + vocabulary + 1
 
     def run(batches):
         top_h, top_c, one, two = shared.value
-        end_count = float(level_count(one.levels(np.array([END])))[0])
         for batch in batches:
             for piece in B.slices(batch, text):
                 words, size = tokens(piece, text)
@@ -266,11 +303,9 @@ def score_texts(docs: DataFrame, *, text: str = "text", key: str = "doc_id", fol
                 known = np.bincount(row, seen > 0, piece.num_rows).astype(np.int64)
                 logs = np.bincount(row, np.log10(seen + 1.0), piece.num_rows)
                 # the model
-                est = level_count(one.levels(keys))
-                c1 = est[back]
-                p1 = (c1 + 1) / floor
                 pairs, pair_back = np.unique(bigrams(words, size), return_inverse=True)
-                c2 = level_count(two.levels(pairs))[pair_back]
+                c1, c2 = level_count(_levels(piece, one, two, keys, back, pairs, pair_back).astype(np.int64))
+                p1 = (c1 + 1) / floor
                 context = np.empty(len(words))
                 context[1:] = c1[:-1]
                 context[np.cumsum(size) - size] = end_count
@@ -292,7 +327,7 @@ def score_texts(docs: DataFrame, *, text: str = "text", key: str = "doc_id", fol
                     yield pa.RecordBatch.from_arrays([pa.array(rid[r]), none(piece.column(key).type), none(pa.bool_()), pa.array(n), none(pa.int64()), none(pa.float64()), none(pa.float64()), pa.array(h)], ["rid", key, "held_out", "n_tokens", "n_known", "logs", "score", "h"])
 
     kind = docs.schema[key].dataType.simpleString()
-    out = stored(own.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(run, f"rid bigint, `{key}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, logs double, score double, h bigint"), "lm-scores")
+    out = stored(rows.mapInArrow(run, f"rid bigint, `{key}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, logs double, score double, h bigint"), "lm-scores")
     rare = (
         out.filter("h is not null").select("rid", "h", F.col("n_tokens").alias("n")).join(unigrams.filter(F.col("c") < head_from), "h")
         .groupBy("rid").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + F.lit(1.0))).alias("more_logs"))

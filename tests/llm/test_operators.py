@@ -231,6 +231,16 @@ def test_language_model_base_score_is_exact(docs, empty):
     assert all(r.score <= 0 for r in rows) and lm.score_texts(empty).count() == 0
 
 
+def test_language_model_scores_do_not_depend_on_the_filters_bound(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = sorted((r.doc_id, r.score) for r in lm.score_texts(docs).collect())
+    monkeypatch.setattr(lm, "RANGE_TEXT", 1 << 15)
+    monkeypatch.setattr(lm, "FILTER_BYTES", 1 << 15)
+    got = sorted((r.doc_id, r.score) for r in lm.score_texts(docs).collect())
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert all(a == pytest.approx(b, rel=0.02) for (_, a), (_, b) in zip(got, want, strict=True))
+
+
 def test_quality_of_unseen_rows(spark, docs, empty):
     clean = [(i, f"Words number {i} make a plain sentence, as people write. And one more follows it here.", 1) for i in range(120)]
     noisy = [(i, f"junk{i}### noise$$$ more{i}&&& stuff%%% again{i}*** and### on$$$", 0) for i in range(120, 200)]
