@@ -6,6 +6,7 @@ import os
 import re
 import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,12 @@ from gradeloom.runtime import run_folder, ship, stored
 SPACES = "\t-\r \x85\xa0  -     　"
 #: A space and what follows up to the next white space: the tokenizer's pattern never joins two of these pieces.
 PIECE = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
-#: Pieces remembered by a Python worker; beyond that it starts anew.
-MOST_PIECES = 500_000
+#: The tokenizer's own pattern within a piece that holds more than letters.
+PARTS = "'(?:[sdmt]|ll|ve|re)| ?\\p{L}+| ?\\p{N}+| ?[^\\p{L}\\p{N}]+"
+#: Below it the classes of letters and digits are the same in all versions of Unicode that matter here.
+SETTLED = "\u0500"
+#: Pieces, and words within them, that a Python worker remembers; beyond that it starts anew.
+MOST_PIECES, MOST_WORDS = 500_000, 1_000_000
 FILE_BYTES = 32 << 20
 _ENCODERS: dict[str, PieceEncoder] = {}
 
@@ -32,61 +37,99 @@ def _byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class _Pieces(dict):
+    """Number of each piece in order of first use; pieces that are new are noted."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = at = len(self)
+        self.new.append(piece)
+        return at
+
+
 class PieceEncoder:
-    """Encodes texts piece by piece and remembers each piece's ids; the ids are those of the whole text."""
+    """Encodes texts piece by piece and remembers each piece's ids; the ids are those of the whole text.
+
+    A text that holds one of the tokenizer's added tokens is encoded as a whole, as these are split off before pieces are.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model, self.alphabet = self.tokenizer.model, _byte_alphabet()
+        self.parts, self.words = regex.compile(PARTS).findall, {}
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True))) or r"(?!)")
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.first, self.count, self.flat, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
+        self.known = _Pieces()
+        self.first, self.count, self.flat, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint32), 0
+
+    def _word(self, word: str) -> list[int]:
+        """ids of one input of the model."""
+        found = self.words.get(word)
+        if found is None:
+            if len(self.words) >= MOST_WORDS:
+                self.words.clear()
+            found = self.words[word] = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))]
+        return found
 
     def _ids(self, piece: str) -> list[int]:
-        if piece.lstrip(" ").isalpha():  # one word of letters: one input of the model
-            return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))]
+        body = piece[1:] if piece[0] == " " else piece
+        if body.isalpha():  # letters alone
+            return self._word(piece)
+        if body and body[0] not in SPACES and max(body) < SETTLED:
+            return [x for w in self.parts(piece) for x in self._word(w)]
         return self.tokenizer.encode(piece, add_special_tokens=False).ids
 
-    def _learn(self, pieces) -> None:
-        ids = [self._ids(p) for p in pieces]
-        flat = np.array([x for i in ids for x in i], np.uint32)
-        size = np.array([len(i) for i in ids], np.int64)
-        n = len(self.known)
+    def _learn(self) -> None:
+        """ids of the pieces noted as new, in order."""
+        ids = [self._ids(p) for p in self.known.new]
+        self._add(ids)
+        self.known.new.clear()
+
+    def _add(self, ids: list[list[int]]) -> None:
+        size = np.fromiter(map(len, ids), np.int32, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
+        n = len(self.known) - len(ids)
         while n + len(ids) > len(self.first):
             self.first, self.count = np.append(self.first, np.zeros_like(self.first)), np.append(self.count, np.zeros_like(self.count))
         while self.used + len(flat) > len(self.flat):
             self.flat = np.append(self.flat, np.zeros_like(self.flat))
-        self.first[n : n + len(ids)] = self.used + np.cumsum(size) - size
+        self.first[n : n + len(ids)] = self.used + np.cumsum(size, dtype=np.int64) - size
         self.count[n : n + len(ids)] = size
         self.flat[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
-        self.known.update(zip(pieces, range(n, n + len(ids)), strict=True))
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts, each followed by `end`, and the number of ids of each."""
         if len(self.known) > MOST_PIECES:
             self.forget()
-        found = [PIECE.findall(t) for t in texts]
-        pieces = [p for f in found for p in f]
-        new = [p for p in dict.fromkeys(pieces) if p not in self.known]
-        if new:
-            self._learn(new)
+        pieces, last, whole = [], np.empty(len(texts), np.int64), {}
+        for i, t in enumerate(texts):
+            if self.added.search(t):
+                whole[i] = self.tokenizer.encode(t, add_special_tokens=False).ids
+            else:
+                pieces += PIECE.findall(t)
+            last[i] = len(pieces)
         at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        if self.known.new:
+            self._learn()
         size = self.count[at]
-        doc = np.repeat(np.arange(len(texts)), [len(f) for f in found])
-        counts = np.bincount(doc, size, len(texts)).astype(np.int64) + 1
-        out = np.full(int(counts.sum()), end, np.uint32)
-        # every id's place: the pieces' ids in order, one place further for each text's end before it
-        place = np.arange(int(size.sum())) + np.repeat(doc, size)
-        source = np.repeat(self.first[at] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        out[place] = self.flat[source]
-        return out, counts
+        upto = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        found = self.flat[np.repeat(self.first[at] - upto[:-1], size) + np.arange(upto[-1])]
+        stop = upto[last]
+        for i in sorted(whole, reverse=True):
+            found = np.concatenate([found[: stop[i]], np.array(whole[i], np.uint32), found[stop[i] :]])
+            stop[i:] += len(whole[i])
+        return np.insert(found, stop, end), np.diff(stop, prepend=0) + 1
 
 
 def encoder(path: str) -> PieceEncoder:
