@@ -21,7 +21,7 @@ def queries() -> dict:
     return {f.__name__: f for f in own} | {"pipeline": run}
 
 
-#: Windows of items and of documents as joined words, then hit words, their longest run, and items by document.
+#: Windows of items and of documents as joined words, then hit words, their longest run, items by document, and runs of windows that go on in one item.
 _OP10 = r"""
 WITH b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -30,10 +30,16 @@ occ AS (SELECT DISTINCT x.doc_id, x.i, x.n, win.item_id FROM (SELECT doc_id, n,
 hit AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM occ),
 runs AS (SELECT doc_id, count(*) AS k FROM (SELECT doc_id, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS island FROM hit) AS t GROUP BY doc_id, island),
 hits AS (SELECT doc_id, sum(k) AS n_hit, max(k) AS longest FROM runs GROUP BY doc_id),
+src AS (SELECT row_number() OVER () AS r, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+iwin AS (SELECT r, item_id, n, j, array_to_string(list_slice(w, j, j + n - 1), ' ') AS g FROM (SELECT r, item_id, w, n, unnest(range(1, len(w) - n + 2)) AS j FROM (SELECT *, least(13, len(w)) AS n FROM src WHERE len(w) > 0) AS s) AS t),
+pair AS (SELECT DISTINCT x.doc_id, x.i, x.n, iwin.r, iwin.item_id, iwin.j FROM (SELECT doc_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM iwin) AS l) AS t) AS x JOIN iwin ON iwin.n = x.n AND iwin.g = x.g),
+span AS (SELECT doc_id, item_id, min(i) - 1 AS first_at, min(j) - 1 AS item_at, count(*) + min(n) - 1 AS k FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, r, i - j ORDER BY i) AS island FROM pair) AS t GROUP BY doc_id, r, item_id, i - j, island),
+verbatim AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k DESC, first_at, CAST(item_id AS VARCHAR), item_at) AS nth FROM span) AS t WHERE nth = 1),
 items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',') AS ids FROM occ GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated, CAST(coalesce(longest, 0) AS BIGINT) AS longest_match
-FROM d LEFT JOIN hits ON hits.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated, CAST(coalesce(longest, 0) AS BIGINT) AS longest_match,
+  CAST(coalesce(k, 0) AS BIGINT) AS longest_verbatim, CAST(verbatim.item_id AS VARCHAR) AS match_item, CAST(first_at AS BIGINT) AS match_start, CAST(item_at AS BIGINT) AS match_item_start
+FROM d LEFT JOIN hits ON hits.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id LEFT JOIN verbatim ON verbatim.doc_id = d.doc_id
 """
 
 
