@@ -27,12 +27,15 @@ LEVEL = 4
 STRETCH = 4 << 20
 _SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:gradeloom:warc")
 
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_LANG = re.compile(r"""<html\b[^>]*?\blang\s*=\s*["']?([\w-]+)""", re.I)
-_BREAK = re.compile(r"</?(?:p|div|br|h[1-6]|li|ul|ol|tr|table|section|article|nav|header|footer|title|blockquote|pre)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[!/?a-zA-Z][^>]*>")
+# Every pattern goes on to the page's end where its own end is missing, so that no part of a page is searched twice.
+_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b[^>]*(?:>.*?(?:</\1\b[^>]*(?:>|\Z)|\Z)|\Z)", re.S | re.I)
+_TITLE = re.compile(r"<title\b[^>]*(?:>(.*?)(?:</title\b|\Z)|\Z)", re.S | re.I)
+_ANCHOR = re.compile(r"<a\b([^>]*)(?:>|\Z)", re.I)
+_HREF = re.compile(r"""\bhref\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_ROOT = re.compile(r"<html\b([^>]*)(?:>|\Z)", re.I)
+_LANG = re.compile(r"""\blang\s*+=\s*+["']?([\w-]+)""", re.I)
+_BREAK = re.compile(r"</?(?:p|div|br|h[1-6]|li|ul|ol|tr|table|section|article|nav|header|footer|title|blockquote|pre)\b[^>]*(?:>|\Z)", re.I)
+_TAG = re.compile(r"<[!/?a-zA-Z][^>]*(?:>|\Z)")
 _BLANKS = re.compile(r"[ \t\r\f\v\xa0]+")
 _LINES = re.compile(r" ?\n[ \n]*")
 
@@ -41,9 +44,14 @@ def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def shown(page: str) -> str:
+    """A page without comments, scripts and styles."""
+    return _HIDDEN.sub(" ", page)
+
+
 def plain_text(page: str) -> str:
-    """What a reader sees of a page: no markup, comments, scripts or styles; blocks on lines of their own."""
-    text = _TAG.sub("", _BREAK.sub("\n", _HIDDEN.sub(" ", page)))
+    """What a reader sees of a page that is `shown`: no markup; blocks on lines of their own."""
+    text = _TAG.sub("", _BREAK.sub("\n", page))
     return _LINES.sub("\n", _BLANKS.sub(" ", entities.unescape(text))).strip()
 
 
@@ -68,11 +76,11 @@ def parse(member: bytes) -> tuple[dict[str, str], bytes]:
     return headers, block
 
 
-def response(page_id, url: str | None, page: str | None) -> tuple[str, bytes]:
-    """Record id and record of one page; a null url leaves the URI out, a null page is empty."""
+def response(page_id, url: str | None, page: str | None, nth: int = 0) -> tuple[str, bytes]:
+    """Record id and record of one page; a null url leaves the URI out, a null page is empty. nth tells repeated rows apart."""
     body = (page or "").encode()
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body
-    own = f"<urn:uuid:{uuid.uuid5(_SPACE, f'{page_id}|{url}|{hashlib.sha1(body).hexdigest()}')}>"
+    own = f"<urn:uuid:{uuid.uuid5(_SPACE, f'{page_id}|{url}|{hashlib.sha1(body).hexdigest()}' + (f'|{nth}' if nth else ''))}>"
     uri = [("WARC-Target-URI", re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))] if url else []
     return own, record([("WARC-Type", "response"), ("WARC-Record-ID", own), ("WARC-Date", DATE), *uri, ("WARC-Payload-Digest", digest(body)), ("WARC-Block-Digest", digest(http)), ("Content-Type", "application/http; msgtype=response")], http)
 
@@ -84,16 +92,18 @@ def derive(headers: dict[str, str], block: bytes) -> list[tuple[str, str, list[t
     source = [x.split(": ", 1) for x in http.decode("latin-1").split("\r\n")[1:] if ": " in x]
     refers = headers["WARC-Record-ID"]
     shared = [("WARC-Refers-To", refers), ("WARC-Date", headers["WARC-Date"])] + ([("WARC-Target-URI", headers["WARC-Target-URI"])] if "WARC-Target-URI" in headers else [])
-    title, lang = _TITLE.search(page), _LANG.search(page)
-    links = list(dict.fromkeys(entities.unescape(next(g for g in m.groups() if g is not None)) for m in _LINK.finditer(_HIDDEN.sub(" ", page))))
+    title, root, seen = _TITLE.search(page), _ROOT.search(page), shown(page)
+    lang = _LANG.search(root[1]) if root else None
+    found = (_HREF.search(m[1]) for m in _ANCHOR.finditer(seen))
+    links = list(dict.fromkeys(entities.unescape(next(g for g in m.groups() if g is not None)) for m in found if m))
     fields = [("source-payload-digest", headers.get("WARC-Payload-Digest", digest(body))), ("source-block-digest", headers.get("WARC-Block-Digest", digest(block)))]
     fields += [(f"source-{k.lower()}", v) for k, v in source]
-    if title:
+    if title and title[1]:
         fields.append(("title", " ".join(entities.unescape(title[1]).split())))
     if lang:
         fields.append(("language", lang[1]))
     fields += [("outlink", re.sub(r"[\r\n]+", "", x)) for x in links]
-    text = plain_text(page).encode()
+    text = plain_text(seen).encode()
     out = []
     for kind, content, data in (("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in fields).encode()), ("conversion", "text/plain; charset=utf-8", text)):
         own = f"<urn:uuid:{uuid.uuid5(_SPACE, f'{kind}|{refers}')}>"
@@ -106,6 +116,21 @@ def _info(name: str) -> bytes:
     return record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(_SPACE, name)}>"), ("WARC-Date", DATE), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
 
 
+#: Kinds of repeated rows that are sent to all tasks; more of them are joined by a shuffle of the pages.
+MOST_KINDS = 1 << 16
+
+
+def _numbered(pages: DataFrame, key: str, url: str, page: str) -> DataFrame:
+    """pages with nth: 0 where no other row is alike, else a number of the row's own."""
+    own = pages.select(key, url, page).withColumn("h", F.xxhash64(F.col(key), F.col(url), F.col(page)))
+    kinds = stored(own.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", F.lit(True).alias("many")), "warc-repeats")
+    found = kinds.count()
+    if not found:
+        return own.select(key, url, page, F.lit(0).cast("long").alias("nth"))
+    marked = own.withColumn("row", F.monotonically_increasing_id() + 1).join(F.broadcast(kinds) if found <= MOST_KINDS else kinds, "h", "left")
+    return marked.select(key, url, page, F.when(F.col("many"), F.col("row")).otherwise(F.lit(0)).alias("nth"))
+
+
 def write_responses(pages: DataFrame, folder: str, *, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """One response record per row; key, file, offset and length of each, stored. A task writes one file, named by its attempt."""
     ship(pages.sparkSession)
@@ -119,11 +144,11 @@ def write_responses(pages: DataFrame, folder: str, *, key: str = "page_id", url:
         for batch in batches:
             for piece in B.slices(batch, page):
                 rows = []
-                for k, u, p in zip(*[piece.column(c).to_pylist() for c in (key, url, page)], strict=True):
+                for k, u, p, nth in zip(*[piece.column(c).to_pylist() for c in (key, url, page, "nth")], strict=True):
                     if out is None:
                         out = store.open_output_stream(f"{path}/{name}", compression=None)
                         at = out.write(_info(name))
-                    _, data = response(k, u, p)
+                    _, data = response(k, u, p, nth)
                     out.write(data)
                     rows.append((at, len(data)))
                     at += len(data)
@@ -132,7 +157,7 @@ def write_responses(pages: DataFrame, folder: str, *, key: str = "page_id", url:
             out.close()
 
     kind = pages.schema[key].dataType.simpleString()
-    return stored(pages.select(key, url, page).mapInArrow(run, f"`{key}` {kind}, file string, offset bigint, length bigint"), "warc-responses")
+    return stored(_numbered(pages, key, url, page).mapInArrow(run, f"`{key}` {kind}, file string, offset bigint, length bigint"), "warc-responses")
 
 
 DERIVED = "record_type string, record_id string, refers_to string, target_uri string, warc_date string, source_payload_digest string, block_digest string, content_length bigint, source_headers string, file string, offset bigint, length bigint"
@@ -183,12 +208,13 @@ def write_derivatives(index: DataFrame, folder: str, *, key: str = "page_id") ->
 def derivatives(pages: DataFrame, *, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """Two rows, metadata and conversion, for every row of pages, from records that were written, read and derived.
 
-    Null and empty pages give an empty conversion; null urls a null target_uri; repeated rows give records with the same
-    ids. Other input columns are left out. An empty table writes nothing and gives an empty result.
+    Null and empty pages give an empty conversion; null urls a null target_uri; repeated rows give records of their own,
+    with ids of their own. Markup that is not closed ends with the page. Other input columns are left out. An empty table writes nothing and gives an empty result.
     """
     folder = run_folder(pages.sparkSession, "warc")
     return write_derivatives(write_responses(pages, folder, key=key, url=url, page=page), folder, key=key)
 
 
 def op4_warc(spark, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of all pages. Nulls, repeated rows, open markup and empty tables: see `derivatives`."""
     return derivatives(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("file", "offset", "length")
