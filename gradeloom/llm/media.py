@@ -128,7 +128,7 @@ def write_shards(rows: DataFrame, payload: str, folder: str) -> DataFrame:
     return stored(rows.mapInArrow(run, f"{schema}, digest string, shard string, offset bigint, length bigint"), "media-rows")
 
 
-READ = "digest string, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, width int, height int, bit_depth int, feature string"
+READ = "digest string, shard string, offset bigint, length bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, width int, height int, bit_depth int, feature string"
 
 
 def read_members(places: DataFrame, folder: str) -> DataFrame:
@@ -160,9 +160,9 @@ def read_members(places: DataFrame, folder: str) -> DataFrame:
                 found = hashlib.sha256(data).hexdigest()
                 if found != digest:
                     raise ValueError(f"member {digest} of {shard} holds {found}")
-                out.append((digest, len(data), found, zlib.crc32(data[-32:]), length, hashlib.sha256(media).hexdigest(), head["width"], head["height"], head["bit_depth"], feature(np.frombuffer(data, np.uint8))))
+                out.append((digest, shard, offset, length, len(data), found, zlib.crc32(data[-32:]), length, hashlib.sha256(media).hexdigest(), head["width"], head["height"], head["bit_depth"], feature(np.frombuffer(data, np.uint8))))
             if out:
-                kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+                kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in READ.split(", ")])
         if source is not None:
             source.close()
@@ -185,9 +185,11 @@ def media_columns(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -
     total = rows.agg(F.sum("length")).first()[0] or 0
     dealt = canon.repartition(max(1, -(-total // STRETCH)), "shard", F.floor(F.col("offset") / F.lit(4 << 20))).sortWithinPartitions("shard", "offset")
     read = stored(read_members(dealt, folder), "media-read")
-    return rows.drop("shard", "offset", "length").join(canon, "digest").join(read, "digest")
+    # both sides are stored tables: a digest that many rows have can be split over tasks
+    return rows.drop("shard", "offset", "length").join(read, "digest")
 
 
 def op1_media(spark, sf_dir: str) -> DataFrame:
+    """What is read back of every document's payload. Nulls, empty texts, ties and empty tables: see `media_columns`."""
     out = media_columns(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "shard", "offset", "width", "height", "bit_depth")
