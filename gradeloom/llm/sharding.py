@@ -111,4 +111,5 @@ def shard(docs: DataFrame, shards: int = 40, *, text: str = "text", key: str = "
 
 
 def op9_shard(spark, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document. Nulls, ties and empty tables: see `shard`."""
     return shard(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=["doc_id"])

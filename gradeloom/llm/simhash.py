@@ -148,4 +148,5 @@ def deduplicated(docs: DataFrame, *, text: str = "text", key: str = "doc_id", sh
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document. Nulls, empty texts and ties: see `near_duplicates`."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "fingerprint", "component_id")
