@@ -22,6 +22,8 @@ MOST_ROWS = 8000
 DIMENSIONS = 1 << 18
 SMOOTHING, COST, ROUNDS, FOLDS = 1.0, 1.0, 20, 3
 THRESHOLD = 0.3
+#: Bytes of text whose indicators a task holds at once, whole texts.
+SLICE = 1 << 20
 
 # classes of a byte: other, lower, upper, digit, beyond ASCII; ASCII marks are classes of their own
 _CLASS = np.zeros(256, np.uint64)
@@ -77,21 +79,47 @@ def features(piece: pa.RecordBatch, text: str) -> tuple[np.ndarray, np.ndarray]:
     return both // DIMENSIONS, both % DIMENSIONS
 
 
-def _descend(x: list[np.ndarray], values: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Dual coordinate descent on the hinge loss; the bias is a feature that is always 1."""
+class Rows:
+    """Feature ids and values of the examples, each in one flat array; rows from first[i] to first[i + 1]."""
+
+    def __init__(self, ids: np.ndarray, first: np.ndarray):
+        self.ids, self.first = ids, first
+        self.values = np.zeros(0, np.float32)
+
+    def scaled(self, ratio: np.ndarray) -> None:
+        """Every indicator becomes its ratio; rows of more than length 1 are shortened to it."""
+        self.values = ratio.astype(np.float32)[self.ids]
+        for i in range(len(self.first) - 1):
+            own = self.values[self.first[i] : self.first[i + 1]]
+            own /= math.sqrt(max(1.0, float((own.astype(np.float64) ** 2).sum())))
+
+    def row(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.ids[self.first[i] : self.first[i + 1]], self.values[self.first[i] : self.first[i + 1]]
+
+    def counts(self, of: np.ndarray) -> np.ndarray:
+        """Number of the rows `of` that have each feature."""
+        out = np.zeros(DIMENSIONS)
+        for i in range(0, len(of), 512):
+            out += np.bincount(np.concatenate([self.row(j)[0] for j in of[i : i + 512]] or [self.ids[:0]]), minlength=DIMENSIONS)
+        return out
+
+
+def _descend(x: Rows, of: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Dual coordinate descent on the hinge loss over the rows `of`; the bias is a feature that is always 1."""
     sign = np.where(y > 0, 1.0, -1.0)
     cost = COST * len(y) / (2 * np.where(y > 0, (y > 0).sum(), (y == 0).sum()))  # classes weigh alike
-    norm = np.array([float((v**2).sum()) + 1.0 for v in values])
+    norm = np.array([float((x.row(i)[1] ** 2).sum()) + 1.0 for i in of])
     w, bias, alpha = np.zeros(DIMENSIONS), 0.0, np.zeros(len(y))
     draw = np.random.default_rng(7)
     for _ in range(ROUNDS):
         change = 0.0
         for i in draw.permutation(len(y)):
-            g = sign[i] * (float(w[x[i]] @ values[i]) + bias) - 1.0
+            ids, values = x.row(of[i])
+            g = sign[i] * (float(w[ids] @ values) + bias) - 1.0
             new = min(max(alpha[i] - g / norm[i], 0.0), cost[i])
             d = (new - alpha[i]) * sign[i]
             if d:
-                w[x[i]] += d * values[i]
+                w[ids] += d * values
                 bias += d
                 change = max(change, abs(d))
                 alpha[i] = new
@@ -100,26 +128,31 @@ def _descend(x: list[np.ndarray], values: list[np.ndarray], y: np.ndarray) -> tu
     return w, bias
 
 
-def fit(x: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, float, float]:
-    """Weights over the indicators (ratio included), and slope and offset of the logistic fit. x: features that are on."""
-    if not len(y) or y.min() == y.max():  # one class: its smoothed share for all
+def fit(x: Rows, y: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """Weights over the indicators (ratio included), and slope and offset of the logistic fit.
+
+    No rows, or rows of one class: the class's smoothed share for all texts.
+    """
+    if not len(y) or y.min() == y.max():
         p = (y.sum() + 1) / (len(y) + 2)
         return np.zeros(DIMENSIONS), 1.0, math.log(p / (1 - p))
-    pos, neg = (SMOOTHING + np.bincount(np.concatenate([a for a, b in zip(x, y, strict=True) if b == c] or [np.zeros(0, np.int64)]), minlength=DIMENSIONS) for c in (1, 0))
+    pos, neg = (SMOOTHING + x.counts(np.flatnonzero(y == c)) for c in (1, 0))
     ratio = np.log((pos / pos.sum()) / (neg / neg.sum()))
     ratio[(pos + neg) < 2 * SMOOTHING + 2] = 0.0  # seen once: no evidence
-    values = [ratio[a] / math.sqrt(max(1.0, float((ratio[a] ** 2).sum()))) for a in x]
-    w, bias = _descend(x, values, y)
+    x.scaled(ratio)
+    every = np.arange(len(y))
+    w, bias = _descend(x, every, y)
     # margins of rows that a model of the other rows sees for the first time
     margin = np.empty(len(y))
     for f in range(FOLDS):
-        out = np.arange(len(y)) % FOLDS == f
+        out = every % FOLDS == f
         if min(np.bincount(y[~out], minlength=2)) == 0 or not out.any():
             other = (w, bias)
         else:
-            other = _descend([x[i] for i in np.flatnonzero(~out)], [values[i] for i in np.flatnonzero(~out)], y[~out])
+            other = _descend(x, every[~out], y[~out])
         for i in np.flatnonzero(out):
-            margin[i] = float(other[0][x[i]] @ values[i]) + other[1]
+            ids, values = x.row(i)
+            margin[i] = float(other[0][ids] @ values) + other[1]
     slope, offset = 1.0, 0.0
     target = np.where(y > 0, ((y > 0).sum() + 1) / ((y > 0).sum() + 2), 1 / ((y == 0).sum() + 2))
     for _ in range(50):  # Newton steps of the logistic fit
@@ -136,7 +169,13 @@ def fit(x: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, float, float]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", label: str = "quality", folds: int = 5, held: int = 0, most_rows: int = MOST_ROWS):
-    """The model, from labelled rows outside the held-out fold, at most `most_rows` of them by hash."""
+    """The model, from labelled rows outside the held-out fold, at most `most_rows` of them by hash of the key.
+
+    Null keys and null labels are left out; of several labels of a key the largest counts, of several texts the one with
+    the smallest hash; a null text is an empty one. Other columns are not read. With no labelled text, or labels of one
+    class, the model gives all texts one score. The fit runs in one task, which holds 8 bytes for each indicator of the
+    chosen rows; the driver gets the weights alone.
+    """
     ship(docs.sparkSession)
     outside = F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(folds)) != held
     marked = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & outside).groupBy(key).agg(F.max(label).alias("__label"))
@@ -145,17 +184,38 @@ def learn(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str =
 
     def run(batches):
         for batch in batches:
-            for piece in B.slices(batch, text):
+            for piece in B.slices(batch, text, SLICE):
                 row, ids = features(piece, text)
                 cut = np.searchsorted(row, np.arange(piece.num_rows + 1))
                 data = [ids[a:b].astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([piece.column(key).cast(pa.int64()), piece.column("__label").cast(pa.int32()), pa.array(data, pa.binary())], ["k", "y", "x"])
+                yield pa.RecordBatch.from_arrays([piece.column("k"), piece.column("h"), piece.column("__label").cast(pa.int32()), pa.array(data, pa.binary())], ["k", "h", "y", "x"])
 
-    # repeated rows of a key are one example
-    got = rows.select(F.col(key).cast("long").alias(key), text, "__label").mapInArrow(run, "k bigint, y int, x binary").dropDuplicates(["k"]).toArrow()
-    order = np.argsort(got.column("k").to_numpy(), kind="stable")
-    x = [np.frombuffer(v, np.int32).astype(np.int64) for v in got.column("x").to_pylist()]
-    return fit([x[i] for i in order], got.column("y").to_numpy()[order])
+    def fitted(batches):
+        k, y, x = [], [], []
+        for batch in batches:
+            k.append(batch.column("k").to_numpy())
+            y.append(batch.column("y").to_numpy())
+            x.append(batch.column("x"))
+        if not k:
+            return
+        order = np.argsort(np.concatenate(k), kind="stable")
+        data = [v.as_buffer() for c in x for v in c]
+        first = np.concatenate([[0], np.cumsum([data[i].size // 4 for i in order])])
+        ids = np.empty(first[-1], np.int32)
+        for n, i in enumerate(order):
+            ids[first[n] : first[n + 1]] = np.frombuffer(data[i], np.int32)
+        data, x = [], None
+        table, slope, offset = fit(Rows(ids, first), np.concatenate(y)[order])
+        yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary()), pa.array([table.ndim]), pa.array([slope]), pa.array([offset])], ["w", "n", "slope", "offset"])
+
+    # repeated rows of a key are one example; keys of any type are compared by their hash
+    of = rows.select(F.xxhash64(key).alias("k"), F.xxhash64(text).alias("h"), text, "__label").mapInArrow(run, "k bigint, h bigint, y int, x binary")
+    one = of.groupBy("k").agg(F.max("y").alias("y"), F.min_by("x", "h").alias("x"))
+    got = one.repartition(1).mapInArrow(fitted, "w binary, n bigint, slope double, offset double").first()
+    if got is None:
+        return fit(Rows(np.zeros(0, np.int32), np.zeros(1, np.int64)), np.zeros(0, np.int64))
+    table = np.frombuffer(bytes(got["w"]))
+    return table.reshape(2, -1) if got["n"] == 2 else table, got["slope"], got["offset"]
 
 
 def score(docs: DataFrame, model, *, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -172,7 +232,7 @@ def score(docs: DataFrame, model, *, text: str = "text", threshold: float = THRE
     def run(batches):
         table, slope, offset = shared.value
         for batch in batches:
-            for piece in B.slices(batch, text):
+            for piece in B.slices(batch, text, SLICE):
                 n = piece.num_rows
                 if table.ndim == 1:
                     margin = np.zeros(n)
@@ -188,6 +248,7 @@ def score(docs: DataFrame, model, *, text: str = "text", threshold: float = THRE
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:
+    """Quality score of every document. Nulls, labels and empty tables: see `learn` and `score`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0

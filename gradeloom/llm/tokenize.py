@@ -215,6 +215,7 @@ def token_files(docs: DataFrame, tokenizer: str, *, text: str = "text", key: str
 
 
 def op3_tokens(spark, sf_dir: str) -> DataFrame:
+    """ids of every whole text, read back from the files. Nulls, added tokens and empty tables: see `token_files`."""
     import public_tokenizers
 
     return token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
