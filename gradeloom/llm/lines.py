@@ -20,7 +20,7 @@ from gradeloom.runtime import ship, stored
 
 BUDGET = 3
 SIMILARITY = 0.8
-#: Lines of fewer words stay as they are.
+#: Lines of fewer words stay as they are, if not said otherwise.
 LEAST_WORDS = 5
 
 
@@ -66,8 +66,8 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     return edit_distance(a, b, most) <= most
 
 
-def line_table(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """key, doc (the text's hash), line (from 0), h (of the normalised line) and fp of every line of LEAST_WORDS words or more."""
+def line_table(docs: DataFrame, text: str, key: str, least_words: int) -> DataFrame:
+    """key, doc (the text's hash), line (from 0), h (of the normalised line) and fp of every line of so many words or more."""
     ship(docs.sparkSession)
 
     def run(batches):
@@ -82,7 +82,7 @@ def line_table(docs: DataFrame, text: str, key: str) -> DataFrame:
                 new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (line[1:] != line[:-1])])) if len(row) else np.zeros(0, np.int64)
                 size = np.diff(np.append(new, len(row)))
                 words = B.span_hashes(low, starts, ends)
-                keep = size >= LEAST_WORDS
+                keep = size >= least_words
                 if not keep.any():
                     continue
                 place = np.arange(len(words)) - np.repeat(new, size)
@@ -143,16 +143,16 @@ def _verified(members: DataFrame) -> DataFrame:
     return members.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a bigint, b bigint")
 
 
-def dedup_lines(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
+def dedup_lines(docs: DataFrame, *, text: str = "text", key: str = "doc_id", least_words: int = LEAST_WORDS) -> DataFrame:
     """docs, the text without the lines that repeat an earlier one, with n_lines, n_removed and removed_lines (positions from 0).
 
     Lines end at line feeds; they are compared in lower case (A-Z) with white space runs as one space. Lines of fewer than
-    five words, and so empty ones, always stay. Null texts stay null, with no lines. Documents come in order of key (null
+    `least_words` words, and lines without words, always stay. Null texts stay null, with no lines. Documents come in order of key (null
     first) and text hash; rows alike in both are one document and get one result. Input columns named like an output
     column are replaced. An empty table gives an empty result.
     """
     docs = docs.drop("n_lines", "n_removed", "removed_lines")
-    lines = stored(line_table(docs, text, key), "lines")
+    lines = stored(line_table(docs, text, key, max(1, least_words)), "lines")
     own = stored(lines.groupBy("h", "fp").agg(F.min(F.struct(key, "doc", "line")).alias("first"), F.count(F.lit(1)).alias("n")), "line-kinds")
     roots = components(fingerprint_links(own.select("fp").distinct(), BUDGET)).toDF("fp", "g")
     # lines that share a fingerprint are candidates as well
@@ -181,6 +181,7 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", key: str = "doc_id") ->
 
 
 def op8_lines(spark, sf_dir: str) -> DataFrame:
+    """Lines of every document that repeat an earlier one. Nulls, short lines and ties: see `dedup_lines`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = dedup_lines(docs)
+    out = dedup_lines(docs, least_words=1)
     return out.select("doc_id", "n_lines", "n_removed", "removed_lines", F.octet_length("text").cast("long").alias("kept_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
