@@ -57,6 +57,38 @@ def test_mix_reaches_targets(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_cut_mix_is_that_of_brute_force(spark, docs):
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for d in (table, docs.select("doc_id", "text", "source")):
+        given = d.select("doc_id", "text", "source", F.xxhash64("doc_id", "text").alias("h")).collect()
+        size = {}
+        for r in given:
+            size[r.source] = size.get(r.source, 0) + len(WORD.findall(r.text or ""))
+        order = sorted(size, key=lambda s: (s is None, [ord(c) for c in s or ""]))
+        weight, most = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}, {s: 2 * n for s, n in size.items()}
+        left, open_, target = 1.5 * sum(size.values()), set(order), {}
+        while open_:
+            level = left / sum(weight[s] for s in open_)
+            full = {s for s in open_ if most[s] < weight[s] * level}
+            for s in full or open_:
+                target[s] = most[s] if full else weight[s] * level
+                left -= target[s] if full else 0
+            open_ = open_ - full if full else set()
+        want = Counter()
+        for s in order:
+            at, queue = 0, sorted((r for r in given if r.source == s), key=lambda r: (r.h, r.doc_id is not None, r.doc_id, len(WORD.findall(r.text or ""))))
+            took = [0] * len(queue)
+            for _ in (0, 1):
+                for i, r in enumerate(queue):
+                    n = len(WORD.findall(r.text or ""))
+                    took[i] += max(0, min(n, math.floor(target[s] + 1e-9) - at))
+                    at += n
+            want.update((r.doc_id, len(WORD.findall(r.text or "")), size[s], round(target[s], 6), t) for r, t in zip(queue, took))
+        got = Counter((r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken) for r in mixing.mix(d, whole=False).collect())
+        assert got == want
+        assert all(r.taken <= 2 * r.size for r in mixing.mix(d, whole=False).collect())
+
+
 def test_shards_are_gapless_and_keep_equal_texts_together(docs, empty):
     rows = sharding.shard(docs, 3).collect()
     for s in {r.shard for r in rows}:
@@ -190,6 +222,40 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.mark_contaminated(empty, items).count() == 0
 
 
+def test_suffix_array_is_sorted_and_finds_all_places():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    words = rng.integers(1, 4, 400).astype(np.uint64)
+    words[[60, 61, 200, 399]] = 0
+    a = decontaminate.SuffixArray(words)
+    a.deepen(20)
+    text = [tuple(words[i : i + 20].tolist()) for i in range(400)]
+    cut = [t[: t.index(0)] if 0 in t else t for t in text]  # order past a document's end does not matter
+    for i, j in zip(a.sa, a.sa[1:]):
+        n = min(len(cut[i]), len(cut[j]))
+        assert cut[i][:n] <= cut[j][:n]
+    for n in (1, 2, 5, 9):
+        q = rng.integers(0, 390, 50)
+        lo, hi = np.zeros(50, np.int64), np.full(50, 400)
+        for k in range(n):
+            lo, hi = a.narrow(lo, hi, k, np.maximum(words[q + k], 1))
+        for x, i, j in zip(q, lo, hi):
+            want = np.maximum(words[x : x + n], 1)
+            assert sorted(a.sa[i:j].tolist()) == [p for p in range(401 - n) if (words[p : p + n] == want).all()]
+
+
+def test_longest_verbatim_match_and_its_place(spark):
+    item = " ".join(f"a{i}" for i in range(30))
+    other = " ".join([f"a{i}" for i in range(14)] + [f"b{i}" for i in range(14)])
+    items = spark.createDataFrame([(2, item), (10, other), (3, "short one")], "item_id bigint, text string")
+    words = item.split()
+    rows = [(1, "x y " + " ".join(words[3:25]) + " z"), (2, " ".join(words[:14]) + " " + " ".join(words[14:30])), (3, "short one short one"), (4, " ".join(words[:12])), (5, " ".join(words[5:18]) + " q " + " ".join(words[5:18])), (6, " ".join(words[:14]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("match_item", F.lit("clash"))
+    got = {r.doc_id: (r.longest_verbatim, r.match_item, r.match_start, r.match_item_start) for r in decontaminate.mark_contaminated(docs, items).collect()}
+    assert got == {1: (22, "2", 2, 3), 2: (30, "2", 0, 0), 3: (2, "3", 0, 0), 4: (0, None, None, None), 5: (13, "2", 0, 5), 6: (14, "10", 0, 0)}
+
+
 def test_decontamination_is_what_sql_gives(spark):
     import duckdb
 
@@ -220,6 +286,20 @@ def test_tokens_are_those_of_whole_texts(docs, empty):
     assert tokenize.token_files(empty, path).count() == 0
 
 
+def test_tokens_of_marks_digits_blanks_and_added_tokens():
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, own = Tokenizer.from_file(path), tokenize.PieceEncoder(path)
+    odd = ["a <|endoftext|> b", "<|endoftext|>", "don't we'll 's x's", "½ ² a²b ٣٤", "  x　y \x1c\x1fz's  ", "", "日本語 テキスト１２", "’s naïve—test_1 a_b 3,14", " x\t\n y  ", "(so) she's… 'tis <b>", "e\u0301 \u200b \ufeff", "\n\n", " "]
+    ids, n = own.encode(odd * 2, 0)
+    want = [[*t.encode(x, add_special_tokens=False).ids, 0] for x in odd * 2]
+    assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert own.encode([], 0)[0].tolist() == [] and np.array_equal(own.encode(["x"], 7)[0][-1:], [7])
+
+
 def test_language_model_base_score_is_exact(docs, empty):
     rows = lm.score_texts(docs).collect()
     held = lambda i: zlib.crc32(str(i).encode() if i is not None else b"") % 7 == 2
@@ -241,6 +321,53 @@ def test_language_model_scores_do_not_depend_on_the_filters_bound(spark, monkeyp
     assert all(a == pytest.approx(b, rel=0.02) for (_, a), (_, b) in zip(got, want, strict=True))
 
 
+@pytest.mark.parametrize("head,filter_bytes", [(1 << 20, 1 << 24), (50, 64), (0, 0)])
+def test_language_model_scores_are_those_of_brute_force(spark, monkeypatch, head, filter_bytes):
+    monkeypatch.setattr(lm, "HEAD_TOKENS", head)
+    monkeypatch.setattr(lm, "FILTER_BYTES", filter_bytes)
+    monkeypatch.setattr(lm, "RANGE_TEXT", 1 << 14)
+    monkeypatch.setattr(lm, "SEND_AT", 5000)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+    lower = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t)
+    toks = {i: [*WORD.findall(lower(t)), "\n"] for i, t in rows}
+    train = [i for i in toks if zlib.crc32(str(i).encode()) % 7 != 2]
+    one, two = Counter(w for i in train for w in toks[i]), Counter(p for i in train for p in zip(["\n", *toks[i]], toks[i]))
+    floor = sum(one.values()) + len(one) + 1
+
+    def quantised(c):
+        if c < 1:
+            return 0.0
+        j = 1 + math.floor(math.log(c) / math.log(1.5) + 1e-9)
+        return 1.0 if j < 2 else (math.ceil(1.5 ** (j - 1) - 1e-9) + math.ceil(1.5**j - 1e-9) - 1) / 2
+
+    def brute(ws):
+        out = 0.0
+        for v, w in zip(["\n", *ws], ws):
+            c2, c1, c0 = quantised(two[v, w]), quantised(one[w]), quantised(one[v])
+            out += math.log10(min(1.0, 0.8 * (c1 + 1) / floor + 0.2 * min(c2, c0, c1) / max(c0, 1.0)))
+        return out
+
+    got = {r.doc_id: r for r in lm.score_texts(docs).collect()}
+    assert len(got) == len(rows) and all(r.n_known == sum(one[w] > 0 for w in toks[i]) for i, r in got.items())
+    assert all(r.base_score == pytest.approx(sum(math.log10((one[w] + 1) / floor) for w in toks[i])) for i, r in got.items())
+    # a false level, one probe chain in 400, moves a score a little
+    assert all(r.score == pytest.approx(brute(toks[i]), rel=0.02, abs=0.7) for i, r in got.items())
+
+
+def test_packed_pairs_come_back():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for bits in (0, 1, 7, 13):
+        h = rng.integers(0, 1 << 63, 1000, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 1000, dtype=np.uint64)
+        drop = np.uint64(max(0, 64 - lm.KEPT - bits))
+        k = h >> drop << drop
+        if bits:
+            k = k[(k >> np.uint64(64 - bits)) == 1]
+        assert (lm.unpack(lm.pack(k, bits), bits, 1 if bits else 0) == k).all()
+
+
 def test_quality_of_unseen_rows(spark, docs, empty):
     clean = [(i, f"Words number {i} make a plain sentence, as people write. And one more follows it here.", 1) for i in range(120)]
     noisy = [(i, f"junk{i}### noise$$$ more{i}&&& stuff%%% again{i}*** and### on$$$", 0) for i in range(120, 200)]
@@ -252,6 +379,11 @@ def test_quality_of_unseen_rows(spark, docs, empty):
     assert all(r.predicted == truth[r.doc_id] for r in rows) and all(0 <= r.score <= 1 for r in rows)
     assert quality.score(docs, model).count() == docs.count() and quality.score(empty, model).count() == 0
     assert quality.score(docs, quality.learn(empty, labels)).filter("score is null").count() == 0
+    # keys of any type, several texts and labels of one key
+    named = all_.select(F.concat(F.lit("k"), "doc_id").alias("doc_id"), "text").unionByName(spark.createDataFrame([("k1", "another text of it"), (None, None)], "doc_id string, text string"))
+    marks = labels.select(F.concat(F.lit("k"), "doc_id").alias("doc_id"), "quality")
+    other = quality.learn(named, marks.unionByName(marks.limit(3)), most_rows=50)
+    assert quality.score(named, other).count() == 202 and quality.learn(named, marks, most_rows=50)[1:] == other[1:]
 
 
 def test_lines_keep_one_occurrence(spark, docs, empty):
@@ -262,6 +394,16 @@ def test_lines_keep_one_occurrence(spark, docs, empty):
     assert lines.dedup_lines(docs).count() == docs.count() and lines.dedup_lines(empty).count() == 0
 
 
+def test_lines_of_any_length_that_repeat(spark):
+    rows = [(1, "short line\n\nx"), (2, "Short  LINE\n\nX\nx y"), (3, None), (4, ""), (5, "x"), (5, "x"), (None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"n_lines": F.lit("clash"), "removed_lines": F.lit("clash")})
+    got = Counter((r.doc_id, r.text, r.n_lines, r.n_removed) for r in lines.dedup_lines(docs, least_words=1).collect())
+    # the first x is that of the null key; empty lines and null texts stay
+    assert got[(None, "x", 1, 0)] == 1
+    assert got[(3, None, 0, 0)] == 1 and got[(4, "", 1, 0)] == 1 and got[(5, "", 1, 1)] == 2
+    assert got[(1, "short line\n", 3, 1)] == 1 and got[(2, "\nx y", 4, 2)] == 1
+
+
 @pytest.mark.parametrize("a,b,d", [("", "", 0), ("abc", "", 3), ("kitten", "sitting", 3), ("flaw", "lawn", 2)])
 def test_edit_distance(a, b, d):
     assert lines.edit_distance(a, b, 9) == d and lines.edit_distance(b, a, max(0, d - 1)) == d
@@ -281,6 +423,23 @@ def test_warc_round_trip(spark):
     assert warc.derivatives(pages.limit(0)).count() == 0
 
 
+def test_warc_reads_any_markup_in_linear_time_and_ids_are_unique(spark, monkeypatch):
+    import time
+
+    for odd in ("<a ", "<script ", "<title>", "<!--", "<p ", "</", "<script></script ", "<html ", "<a href='", "<", "<style>"):
+        start = time.process_time()
+        warc.derive({"WARC-Record-ID": "<x>", "WARC-Date": "d"}, b"HTTP/1.1 200 OK\r\n\r\n" + (odd * (1_000_000 // len(odd))).encode())
+        assert time.process_time() - start < 20, odd
+    assert warc.plain_text(warc.shown("a<script>x</script >b<style>y")) == "a b"
+    rows = [(i, "u", "<p>x") for i in (1, 1, 2, 3, 3, 3)] + [(None, None, None)] * 2 + [(9, "v", "y" * 3_000_000)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3).withColumns({c: F.lit("clash") for c in ("file", "record_id", "nth", "h")})
+    for most in (1 << 16, 0):
+        monkeypatch.setattr(warc, "MOST_KINDS", most)
+        got = warc.derivatives(pages).collect()
+        assert len({r.record_id for r in got}) == 18 and len({r.refers_to for r in got}) == 9
+        assert Counter(r.page_id for r in got) == Counter(2 * [r[0] for r in rows])
+
+
 def test_pipeline_keeps_columns(spark):
     import corpus_pipeline
 
