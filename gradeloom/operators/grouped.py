@@ -127,12 +127,31 @@ def _streamed(spark: SparkSession, sf_dir: str, plan, mode: str) -> DataFrame:
     return spark.read.schema(result.schema).parquet(out)
 
 
+HOUR_US, MOST_AN_HOUR = 3_600_000_000, 20
+
+
+def _hourly(key: tuple, frames, state):
+    """One trigger's submissions of a student, each with those of the hour before it; the state keeps the last hour's times."""
+    rows = pd.concat(list(frames)).sort_values(["at", "event_id"])
+    at = np.sort(np.concatenate([np.array(state.get[0] if state.exists else [], np.int64), rows["at"].to_numpy(np.int64)]))
+    n = np.searchsorted(at, rows["at"], "right") - np.searchsorted(at, rows["at"] - HOUR_US, "left")
+    state.update((at[at >= at[-1] - HOUR_US].tolist(),))
+    yield pd.DataFrame({"event_id": rows["event_id"], "user_id": key[0], "n": n, "rejected": n >= MOST_AN_HOUR})
+
+
 def t3_rate_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Submissions per student and sliding hour, in append mode behind a watermark of a day."""
+    """Every submission with the number of its student's submissions in the hour up to it, given out as it arrives.
+
+    A student's last hour is the state. Equals the batch window as long as no trigger brings submissions that are older
+    than an earlier trigger's by more than an hour.
+    """
+    ship(spark)
 
     def plan(events):
-        counts = events.withWatermark("ts", "1 day").groupBy(F.window("ts", "1 hour", "30 minutes"), "user_id").agg(F.count(F.lit(1)).alias("n"))
-        return counts.select("user_id", F.col("window.start").alias("start"), "n")
+        from pyspark.sql.streaming.state import GroupStateTimeout
+
+        keyed = events.select("user_id", "event_id", F.unix_micros("ts").alias("at"))
+        return keyed.groupBy("user_id").applyInPandasWithState(_hourly, "event_id bigint, user_id bigint, n bigint, rejected boolean", "times array<bigint>", "append", GroupStateTimeout.NoTimeout)
 
     return _streamed(spark, sf_dir, plan, "append")
 

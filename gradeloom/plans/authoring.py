@@ -5,6 +5,8 @@ An entry is one SQL text for both engines, or a pair (Spark, DuckDB) where their
 
 from __future__ import annotations
 
+from gradeloom.plans.domain import _RISK, _RISK_ROWS
+
 from gradeloom.plans.domain import _winnow
 
 # Line-scan needles by danger category.
@@ -52,6 +54,14 @@ def _screen(tail: str) -> tuple[str, str]:
     return tuple(q + tail for q in _winnow(f", {_SCORES} "))
 
 
+#: Item statistics: share of full marks, point-biserial with the total, correlation with the mastery of the tagged concept.
+_ITEMS = """answers AS (SELECT i.item_key, i.assignment_id, i.score, CASE WHEN i.score >= 0.999e0 THEN 1e0 ELSE 0e0 END AS f, k.total, ms.m FROM item i JOIN mark k ON k.run_id = i.run_id
+  JOIN (VALUES (0, 'view'), (1, 'click'), (2, 'signup'), (3, 'error'), (4, 'purchase')) AS t(concept, concept_key) ON t.concept = i.concept LEFT JOIN mastery ms ON ms.student_id = i.student_id AND ms.concept_key = t.concept_key),
+items AS (SELECT item_key, assignment_id, count(*) AS n, avg(f) AS difficulty, CASE WHEN count(*) < 3 OR min(f) = max(f) OR min(total) = max(total) THEN 0e0 ELSE corr(f, total) * sqrt((count(*) - 1e0) / count(*)) END AS discrimination,
+  CASE WHEN count(m) < 3 OR min(m) = max(m) OR min(CASE WHEN m IS NOT NULL THEN score END) = max(CASE WHEN m IS NOT NULL THEN score END) THEN 0e0 ELSE corr(CASE WHEN m IS NOT NULL THEN score END, m) END AS alignment FROM answers GROUP BY item_key, assignment_id)"""
+#: Thresholds and names of the flags, the gravest first.
+_ITEM_FLAG = "CASE WHEN n < 5 THEN 'insufficient_data' WHEN discrimination < -0.15e0 THEN 'anticorrelated' WHEN difficulty > 0.95e0 THEN 'too_easy' WHEN difficulty < 0.2e0 THEN 'too_hard' WHEN abs(discrimination) < 0.15e0 THEN 'non_discriminating' WHEN alignment < 0.2e0 THEN 'misaligned_concepts' ELSE 'ok' END"
+
 SQL: dict[str, str | tuple[str, str]] = {
     # text of sources, briefs and reports
     "f1_normalise_source": "WITH lf AS (SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM documents), ends AS (SELECT doc_id, @RALL(t, '[ ]+' || chr(10), chr(10)) AS t FROM lf) SELECT doc_id, md5(@RALL(t, '[ ' || chr(10) || ']+$', '') || chr(10)) AS h FROM ends",
@@ -109,8 +119,8 @@ SQL: dict[str, str | tuple[str, str]] = {
     "snk12_json_documents": ("SELECT to_json(named_struct('id', c_custkey, 'segment', c_mktsegment)) AS doc FROM customer", "SELECT CAST(json_object('id', c_custkey, 'segment', c_mktsegment) AS VARCHAR) AS doc FROM customer"),
     "c6_failure_signatures": "SELECT student_id, assignment_id, @JOINED(@DISTINCT(@LIST(source))) AS failed, @JOINED(@DISTINCT(@LIST(concept_key))) AS concepts, count(*) AS n FROM obs WHERE score < 0.5e0 GROUP BY student_id, assignment_id",
     # cohorts
-    "a18_item_analysis": "SELECT i.item_key, i.assignment_id, count(*) AS n, round(avg(CASE WHEN score >= 0.999e0 THEN 1e0 ELSE 0e0 END), 6) AS difficulty, round(corr(score, total), 5) AS discrimination FROM item i JOIN mark m ON m.run_id = i.run_id GROUP BY i.item_key, i.assignment_id",
-    "pf10_item_flag": "WITH s AS (SELECT i.item_key, i.assignment_id, count(*) AS n, avg(CASE WHEN score >= 0.999e0 THEN 1e0 ELSE 0e0 END) AS difficulty, corr(score, total) AS r FROM item i JOIN mark m ON m.run_id = i.run_id GROUP BY i.item_key, i.assignment_id) SELECT item_key, assignment_id, CASE WHEN n < 5 THEN 'insufficient_data' WHEN r < -0.15e0 THEN 'anticorrelated' WHEN difficulty > 0.95e0 THEN 'too_easy' WHEN difficulty < 0.2e0 THEN 'too_hard' WHEN abs(r) < 0.15e0 THEN 'non_discriminating' ELSE 'ok' END AS flag FROM s",
+    "a18_item_analysis": f"WITH {_ITEMS} SELECT item_key, assignment_id, n, round(difficulty, 6) AS difficulty, round(discrimination, 5) AS discrimination, round(alignment, 5) AS alignment, {_ITEM_FLAG} AS flag FROM items",
+    "pf10_item_flag": f"WITH {_ITEMS} SELECT item_key, assignment_id, {_ITEM_FLAG} AS flag FROM items",
     "j16_auc": "WITH r AS (SELECT state = 'released' AS y, total, rank() OVER (ORDER BY total) AS lo, count(*) OVER (PARTITION BY total) AS ties FROM verdict) SELECT round((sum(CASE WHEN y THEN lo + (ties - 1) / 2e0 END) - count_if(y) * (count_if(y) + 1e0) / 2e0) / (count_if(y) * 1e0 * count_if(NOT y)), 6) AS auc FROM r",
     "j21_trailing_hour": "SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS n FROM events",
     "w15_gap_merge": "WITH g AS (SELECT user_id, event_id, @SEC(ts) AS s, CASE WHEN @SEC(ts) - lag(@SEC(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 7200 THEN 0 ELSE 1 END AS new_ FROM events), i AS (SELECT user_id, s, sum(new_) OVER (PARTITION BY user_id ORDER BY s, event_id ROWS UNBOUNDED PRECEDING) AS island FROM g) SELECT user_id, CAST(island AS BIGINT) AS island, min(s) AS start_, max(s) AS end_, count(*) AS n FROM i GROUP BY user_id, island",
@@ -120,7 +130,7 @@ SQL: dict[str, str | tuple[str, str]] = {
     "o15_queue_order": "SELECT event_id, user_id, slot FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS slot FROM events) AS t WHERE slot <= 2",
     "g3_actions": "SELECT c.concept, CASE WHEN r.kind IN ('practice', 'problem_set', 'exercise') THEN 'Work through: ' || r.title WHEN r.kind IS NOT NULL THEN 'Review: ' || r.title ELSE 'No practice resource is attached to ' || c.concept END AS action FROM concepts c LEFT JOIN (SELECT * FROM (SELECT v.*, row_number() OVER (PARTITION BY concept ORDER BY CASE WHEN kind IN ('practice', 'problem_set', 'exercise') THEN 0 ELSE 1 END, pos) AS rn FROM (VALUES ('view', 'reading', 'Notes', 0), ('view', 'practice', 'Set 1', 1), ('click', 'reading', 'Slides', 0)) AS v(concept, kind, title, pos)) AS t WHERE rn = 1) AS r ON r.concept = c.concept",
     "i5_cohort_corpus": "SELECT run_id, student_id, assignment_id FROM (SELECT v.*, row_number() OVER (PARTITION BY student_id, assignment_id ORDER BY started_at DESC, run_id DESC) AS rn FROM verdict v) AS t WHERE rn = 1",
-    "r2_course_risk": "WITH s AS (SELECT student_id, avg(m) AS mean, count_if(m < 0.25e0) AS gaps FROM mastery GROUP BY student_id) SELECT c.c_custkey AS student_id, round(1e0 / (1e0 + exp(-6e0 * ((1e0 - coalesce(s.mean, 0.25e0)) * 0.30e0 + least(1e0, coalesce(s.gaps, 0) / 4e0) * 0.18e0 - 0.32e0))), 6) AS risk FROM customer c LEFT JOIN s ON s.student_id = c.c_custkey",
+    "r2_course_risk": f"WITH {_RISK}, a AS ({_RISK_ROWS}) SELECT c.c_custkey AS student_id, round(coalesce(a.risk, 1e0 / (1e0 + exp(-6e0 * (0.75e0 * 0.30e0 - 0.32e0)))), 6) AS risk, coalesce(a.flagged, FALSE) AS flagged, coalesce(a.route, 'advising') AS route, coalesce(a.factors, 'Low mastery across the course') AS factors FROM customer c LEFT JOIN a ON a.student_id = c.c_custkey",
     "z2_student_dashboard": "WITH w AS (SELECT student_id, concept_key, m, u, row_number() OVER (PARTITION BY student_id ORDER BY round(m, 9), concept_key) AS rn FROM mastery) SELECT student_id, round(avg(m), 6) AS mean, CAST(count_if(m >= 0.7e0) AS BIGINT) AS mastered, max(CASE WHEN rn = 1 THEN concept_key END) AS weakest FROM w GROUP BY student_id",
     "z6_cluster_briefing": "SELECT label, vec_id, rn FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings) AS t WHERE rn <= 3",
     "z8_integrity_review": "SELECT r.run_id, s.name, s.region, r.assignment_id FROM run r JOIN student s ON s.student_id = r.student_id WHERE r.state = 'overridden'",

@@ -26,17 +26,17 @@ def _traced(tail: str, more: str = "") -> tuple[str, str]:
     return f"WITH {_ADJ}, {_FOLD}{more} {tail}", f"WITH {_ADJ}, {_STEPS}{more} {tail}"
 
 
-#: Word winnowing: hashes of 5 words, the rightmost least hash of each 4 in a row, repeats in a row once.
+#: Word winnowing: hashes of 5 words, the least hash of each 4 in a row; of fewer than 4 hashes all.
 _WORDS = (
     "words AS (SELECT doc_id, pos, w FROM (SELECT doc_id, posexplode(split(lower(text), '[^a-z0-9]+')) AS (pos, w) FROM documents) AS t)",
     "words AS (SELECT doc_id, i - 1 AS pos, l[i] AS w FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split_regex(lower(text), '[^a-z0-9]+') AS l FROM documents) AS a) AS t)",
 )
 _WINNOW = """grams AS (SELECT doc_id, pos, md5(concat_ws(' ', w, lead(w, 1) OVER s, lead(w, 2) OVER s, lead(w, 3) OVER s, lead(w, 4) OVER s)) AS h, lead(w, 4) OVER s AS tail FROM words WINDOW s AS (PARTITION BY doc_id ORDER BY pos)),
 kept AS (SELECT doc_id, pos, h FROM grams WHERE tail IS NOT NULL),
-least4 AS (SELECT doc_id, pos, least(h, coalesce(lead(h, 1) OVER s, h), coalesce(lead(h, 2) OVER s, h), coalesce(lead(h, 3) OVER s, h)) AS h, lead(h, 3) OVER s AS tail FROM kept WINDOW s AS (PARTITION BY doc_id ORDER BY pos)),
-prints AS (SELECT DISTINCT doc_id, h FROM least4 WHERE tail IS NOT NULL),
+least4 AS (SELECT doc_id, pos, least(h, coalesce(lead(h, 1) OVER s, h), coalesce(lead(h, 2) OVER s, h), coalesce(lead(h, 3) OVER s, h)) AS h, lead(h, 3) OVER s AS tail, h AS own, count(*) OVER (PARTITION BY doc_id) AS grams_ FROM kept WINDOW s AS (PARTITION BY doc_id ORDER BY pos)),
+prints AS (SELECT DISTINCT doc_id, CASE WHEN grams_ < 4 THEN own ELSE h END AS h FROM least4 WHERE tail IS NOT NULL OR grams_ < 4),
 common AS (SELECT h FROM prints GROUP BY h HAVING count(*) >= greatest(3, floor(0.4e0 * (SELECT count(*) FROM documents)))),
-informative AS (SELECT p.doc_id, p.h FROM prints p WHERE p.h NOT IN (SELECT h FROM common)),
+informative AS (SELECT p.doc_id, p.h FROM prints p WHERE NOT EXISTS (SELECT 1 FROM common c WHERE c.h = p.h)),
 sized AS (SELECT doc_id, count(*) AS n FROM informative GROUP BY doc_id)"""
 
 
@@ -45,13 +45,35 @@ def _winnow(tail: str) -> tuple[str, str]:
 
 
 _WALK = "walk(start_, node, depth) AS (SELECT concept, prereq, 1 FROM prereq UNION ALL SELECT w.start_, p.prereq, w.depth + 1 FROM walk w JOIN prereq p ON p.concept = w.node WHERE w.depth < 3)"
-_UP = "up(base, node, depth) AS (SELECT prereq, concept, 1 FROM prereq UNION ALL SELECT u.base, p.concept, u.depth + 1 FROM up u JOIN prereq p ON p.prereq = u.node WHERE u.depth < 8)"
+#: Walks carry their path and end where a concept would come again.
+_UP = "up(base, node, depth, path) AS (SELECT prereq, concept, 1, concat('/', prereq, '/', concept, '/') FROM prereq UNION ALL SELECT u.base, p.concept, u.depth + 1, concat(u.path, p.concept, '/') FROM up u JOIN prereq p ON p.prereq = u.node WHERE NOT contains(u.path, concat('/', p.concept, '/')))"
 _GAPS = """known AS (SELECT s.student_id, c.concept, coalesce(m.m, 0.25e0) AS m, coalesce(m.u, 1e0) AS u, coalesce(m.n, 0) AS n FROM (SELECT DISTINCT student_id FROM obs) AS s CROSS JOIN concepts c LEFT JOIN mastery m ON m.student_id = s.student_id AND m.concept_key = c.concept),
 edge AS (SELECT student_id, concept, prereq FROM (SELECT k.student_id, p.concept, p.prereq, row_number() OVER (PARTITION BY k.student_id, p.concept ORDER BY k.m, p.prereq) AS rn FROM prereq p JOIN known k ON k.concept = p.prereq WHERE k.m < 0.7e0) AS t WHERE rn = 1),
-down(student_id, start_, node, depth) AS (SELECT student_id, concept, concept, 0 FROM known WHERE m < 0.7e0 UNION ALL SELECT d.student_id, d.start_, e.prereq, d.depth + 1 FROM down d JOIN edge e ON e.student_id = d.student_id AND e.concept = d.node WHERE d.depth < 8),
+down(student_id, start_, node, depth, path) AS (SELECT student_id, concept, concept, 0, concat('/', concept, '/') FROM known WHERE m < 0.7e0 UNION ALL SELECT d.student_id, d.start_, e.prereq, d.depth + 1, concat(d.path, e.prereq, '/') FROM down d JOIN edge e ON e.student_id = d.student_id AND e.concept = d.node WHERE NOT contains(d.path, concat('/', e.prereq, '/'))),
 goal AS (SELECT student_id, start_, node AS target, depth FROM (SELECT *, row_number() OVER (PARTITION BY student_id, start_ ORDER BY depth DESC) AS rn FROM down) AS t WHERE rn = 1)"""
 _RECO = f"""{_GAPS}, reco AS (SELECT * FROM (SELECT g.student_id, g.target, g.start_, g.depth, k.m, k.u, k.n, (1e0 - k.m) * (1e0 + 0.4e0 * g.depth) * (0.7e0 + 0.3e0 * (1e0 - k.u)) AS priority, row_number() OVER (PARTITION BY g.student_id, g.target ORDER BY (1e0 + 0.4e0 * g.depth) DESC, g.start_) AS rn FROM goal g JOIN known k ON k.student_id = g.student_id AND k.concept = g.target) AS t WHERE rn = 1)"""
 
+#: The weights of the seven risk factors, their thresholds, the squash and the support routes.
+#: Behaviour is read from the events: a week is an assignment, begun late if its first event comes after its middle,
+#: an event of type 'error' is an abandoned attempt, decay compares the later with the earlier half of the weeks.
+_RISK = """weeks AS (SELECT assignment_id, row_number() OVER (ORDER BY assignment_id) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT assignment_id FROM obs) AS w),
+levels AS (SELECT student_id, avg(m) AS mean, count(*) AS tracked FROM mastery GROUP BY student_id),
+points AS (SELECT student_id, concept_key, score, row_number() OVER (PARTITION BY student_id, concept_key ORDER BY observed_at, obs_id) - 1 AS i FROM obs),
+slopes AS (SELECT student_id, avg(slope) AS slope, count(*) AS trends FROM (SELECT student_id, concept_key, coalesce(regr_slope(score, i), 0e0) AS slope FROM points GROUP BY student_id, concept_key HAVING count(*) >= 3) AS x GROUP BY student_id),
+weak AS (SELECT s.student_id, c.concept, m.m IS NOT NULL AS tracked FROM levels s CROSS JOIN concepts c LEFT JOIN mastery m ON m.student_id = s.student_id AND m.concept_key = c.concept WHERE coalesce(m.m, 0e0) < 0.7e0),
+deep(student_id, node, depth, path) AS (SELECT student_id, concept, 1, concat('/', concept, '/') FROM weak WHERE tracked UNION ALL SELECT d.student_id, p.prereq, d.depth + 1, concat(d.path, p.prereq, '/') FROM deep d JOIN prereq p ON p.concept = d.node JOIN weak w ON w.student_id = d.student_id AND w.concept = p.prereq WHERE NOT contains(d.path, concat('/', p.prereq, '/'))),
+gaps AS (SELECT student_id, max(depth) AS depth FROM deep GROUP BY student_id),
+begun AS (SELECT student_id, assignment_id, min(observed_at) AS first_at, count(*) AS k, count_if(concept_key = 'error') AS dropped FROM obs GROUP BY student_id, assignment_id),
+habits AS (SELECT b.student_id, avg(CASE WHEN @SEC(b.first_at) - @SEC(b.assignment_id) > 302400 THEN 1e0 ELSE 0e0 END) AS late, sum(b.dropped) * 1e0 / sum(b.k) AS dropped, max(w.n) - count(*) AS missed,
+  CASE WHEN sum(CASE WHEN 2 * w.i <= w.n THEN b.k ELSE 0 END) = 0 THEN 0e0 ELSE greatest(0e0, 1e0 - sum(CASE WHEN 2 * w.i > w.n THEN b.k ELSE 0 END) * 1e0 / sum(CASE WHEN 2 * w.i <= w.n THEN b.k ELSE 0 END)) END AS decay FROM begun b JOIN weeks w ON w.assignment_id = b.assignment_id GROUP BY b.student_id),
+features AS (SELECT l.student_id, l.mean, coalesce(s.slope, 0e0) AS slope, coalesce(g.depth, 0) AS depth, h.late, h.dropped, h.decay, h.missed FROM levels l JOIN habits h ON h.student_id = l.student_id LEFT JOIN slopes s ON s.student_id = l.student_id LEFT JOIN gaps g ON g.student_id = l.student_id),
+factors AS (SELECT * FROM (SELECT f.student_id, f.depth, f.decay, k.factor, CASE k.i WHEN 1 THEN (1e0 - mean) * 0.30e0 WHEN 2 THEN CASE WHEN -slope * 6e0 * 0.22e0 > 0.005e0 THEN -slope * 6e0 * 0.22e0 END WHEN 3 THEN CASE WHEN depth >= 2 THEN least(1e0, depth / 4e0) * 0.16e0 END
+  WHEN 4 THEN CASE WHEN late > 0.4e0 THEN late * 0.09e0 END WHEN 5 THEN CASE WHEN dropped > 0.25e0 THEN dropped * 0.09e0 END WHEN 6 THEN CASE WHEN decay > 0.3e0 THEN decay * 0.08e0 END WHEN 7 THEN CASE WHEN missed > 0 THEN least(1e0, missed / 3e0) * 0.06e0 END END AS c
+  FROM features f CROSS JOIN (VALUES (1, 'Low mastery across the course'), (2, 'Declining mastery trajectory'), (3, 'Deep prerequisite gap'), (4, 'Consistently late starts'), (5, 'Attempts abandoned mid-way'), (6, 'Engagement falling over the term'), (7, 'Missed assignments')) AS k(i, factor)) AS x WHERE c IS NOT NULL),
+scored AS (SELECT *, 1e0 / (1e0 + exp(-6e0 * (sum(c) OVER (PARTITION BY student_id) - 0.32e0))) AS risk, row_number() OVER (PARTITION BY student_id ORDER BY round(c, 9) DESC, factor) AS rn FROM factors)"""
+_LISTED = ", ".join(f"max(CASE WHEN rn = {i} {'AND risk >= 0.55e0 ' if i > 3 else ''}THEN factor END)" for i in range(1, 8))
+_RISK_ROWS = f"SELECT student_id, round(max(risk), 6) AS risk, max(risk) >= 0.55e0 AS flagged, CASE WHEN max(risk) >= 0.55e0 AND max(depth) >= 2 THEN 'tutoring' WHEN max(risk) >= 0.55e0 AND max(decay) > 0.4e0 THEN 'instructor_check_in' ELSE 'advising' END AS route, concat_ws('; ', {_LISTED}) AS factors FROM scored GROUP BY student_id"
+
 SQL: dict[str, str | tuple[str, str]] = {
     # knowledge tracing
     "k1_adjusted_slip_guess": f"WITH {_ADJ} SELECT obs_id, round(slip, 6) AS slip, round(guess, 6) AS guess FROM adj",
@@ -70,12 +92,12 @@ SQL: dict[str, str | tuple[str, str]] = {
     "o4_reteach_order": "SELECT concept_key, round(1e0 - avg(m), 6) AS urgency FROM mastery GROUP BY concept_key ORDER BY urgency DESC, concept_key LIMIT 8",
     "g6_pacing": "SELECT c.concept, CAST(8 - c.week AS BIGINT) AS weeks_since, round(avg(m.m), 6) AS mean FROM concepts c JOIN mastery m ON m.concept_key = c.concept WHERE c.week <= 8 GROUP BY c.concept, c.week HAVING avg(m.m) < 0.55e0",
     "g7_interventions": f"WITH {_RECO}, s AS (SELECT student_id, avg(m) AS mean FROM mastery GROUP BY student_id), b AS (SELECT r.student_id, max(r.priority) AS p FROM reco r GROUP BY r.student_id) SELECT b.student_id, round(b.p * (1.3e0 - s.mean), 6) AS priority FROM b JOIN s ON s.student_id = b.student_id",
-    "g8_gap_depth": f"WITH {_GAPS}, chain(student_id, node, depth) AS (SELECT student_id, concept, 1 FROM known WHERE m < 0.25e0 UNION ALL SELECT c.student_id, p.prereq, c.depth + 1 FROM chain c JOIN prereq p ON p.concept = c.node JOIN known k ON k.student_id = c.student_id AND k.concept = p.prereq WHERE k.m < 0.25e0 AND c.depth < 8) SELECT student_id, CAST(max(depth) AS BIGINT) AS depth FROM chain GROUP BY student_id",
-    "g9_gap_flag": "SELECT m.student_id, m.concept_key FROM mastery m WHERE m.m < 0.25e0 AND EXISTS (SELECT 1 FROM prereq p WHERE p.prereq = m.concept_key)",
-    "g10_mutual_recursion": "WITH call AS (SELECT * FROM (VALUES ('f', 'g'), ('g', 'f'), ('g', 'h'), ('h', 'h'), ('k', 'f')) AS c(a, b)), reach(a, b, depth) AS (SELECT a, b, 1 FROM call UNION ALL SELECT r.a, c.b, r.depth + 1 FROM reach r JOIN call c ON c.a = r.b WHERE r.depth < 5) SELECT DISTINCT x.a, x.b FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a WHERE x.a < x.b",
+    "g8_gap_depth": f"WITH {_GAPS}, chain(student_id, node, depth, path) AS (SELECT student_id, concept, 1, concat('/', concept, '/') FROM known WHERE m < 0.7e0 UNION ALL SELECT c.student_id, p.prereq, c.depth + 1, concat(c.path, p.prereq, '/') FROM chain c JOIN prereq p ON p.concept = c.node JOIN known k ON k.student_id = c.student_id AND k.concept = p.prereq WHERE k.m < 0.7e0 AND NOT contains(c.path, concat('/', p.prereq, '/'))) SELECT student_id, CAST(max(depth) AS BIGINT) AS depth FROM chain GROUP BY student_id",
+    "g9_gap_flag": "SELECT m.student_id, m.concept_key FROM mastery m WHERE m.m < 0.7e0 AND EXISTS (SELECT 1 FROM prereq p WHERE p.prereq = m.concept_key)",
+    "g10_mutual_recursion": "WITH call AS (SELECT * FROM (VALUES ('f', 'g'), ('g', 'f'), ('g', 'h'), ('h', 'h'), ('k', 'f')) AS c(a, b)), reach(a, b, path) AS (SELECT a, b, concat('/', b, '/') FROM call UNION ALL SELECT r.a, c.b, concat(r.path, c.b, '/') FROM reach r JOIN call c ON c.a = r.b WHERE NOT contains(r.path, concat('/', c.b, '/'))) SELECT DISTINCT x.a, x.b FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a WHERE x.a < x.b",
     # risk, gate and review
-    "r1_risk": "WITH s AS (SELECT student_id, avg(m) AS mean FROM mastery GROUP BY student_id), t AS (SELECT student_id, regr_slope(score, i) AS slope FROM (SELECT student_id, score, row_number() OVER (PARTITION BY student_id ORDER BY observed_at, obs_id) - 1 AS i FROM obs) AS x GROUP BY student_id), f AS (SELECT s.student_id, (1e0 - s.mean) * 0.30e0 + CASE WHEN greatest(0e0, -t.slope * 6e0) * 0.22e0 > 0.005e0 THEN greatest(0e0, -t.slope * 6e0) * 0.22e0 ELSE 0e0 END AS raw FROM s JOIN t ON t.student_id = s.student_id) SELECT student_id, round(1e0 / (1e0 + exp(-6e0 * (raw - 0.32e0))), 6) AS risk, 1e0 / (1e0 + exp(-6e0 * (raw - 0.32e0))) >= 0.55e0 AS flagged FROM f",
-    "r3_risk_invariant": "SELECT student_id, count(*) AS n FROM mastery GROUP BY student_id HAVING count(*) > 5",
+    "r1_risk": f"WITH {_RISK} {_RISK_ROWS}",
+    "r3_risk_invariant": f"WITH {_RISK}, a AS ({_RISK_ROWS}) SELECT count(*) AS students, CAST(count_if(flagged AND factors = '') AS BIGINT) AS flagged_without_factors, CAST(count_if(route NOT IN ('advising', 'tutoring', 'peer_mentoring', 'instructor_check_in')) AS BIGINT) AS off_route, CAST(count_if(risk < 0e0 OR risk > 1e0) AS BIGINT) AS off_scale FROM a",
     "e10_signal_assembly": "SELECT student_id, concept_key, round(sum(score * r.w) / sum(r.w), 6) AS score, CAST(count(DISTINCT o.source) AS BIGINT) AS sources FROM obs o JOIN (VALUES ('test', 1e0), ('static', 0.85e0), ('structural', 0.55e0), ('repair', 0.70e0), ('report', 0.35e0), ('manual', 1e0)) AS r(source, w) ON r.source = o.source GROUP BY student_id, concept_key",
     "e11_gate_routing": "WITH a AS (SELECT run_id, sum(score * weight) / sum(weight) AS total, min(score) AS lowest, max(score) AS highest, count_if(flag = 'R') * 1e0 / count(*) AS repaired FROM item GROUP BY run_id) SELECT run_id, CASE WHEN abs(total - 0.4e0) < 0.02e0 THEN 'boundary' WHEN repaired > 0.8e0 THEN 'repair' WHEN highest - lowest > 0.9e0 THEN 'conflict' WHEN total < 0.55e0 THEN 'low_confidence' ELSE 'released' END AS route FROM a",
     "e12_emit_observations": "SELECT v.run_id, v.student_id, i.concept, round(max(i.score), 6) AS score FROM verdict v JOIN item i ON i.run_id = v.run_id WHERE v.state = 'released' GROUP BY v.run_id, v.student_id, i.concept",

@@ -25,14 +25,14 @@ SQL: dict[str, str] = {
     "pf6_failed_items": "SELECT run_id, CAST(count_if(score < 0.2e0) AS BIGINT) AS failed FROM item GROUP BY run_id",
     "pf7_redact_hidden": "SELECT run_id, item_key, score FROM item WHERE NOT (submitted_at < TIMESTAMP '1995-01-01 00:00:00' AND flag = 'N')",
     "pf8_ownership": "SELECT run_id, started_at FROM run WHERE student_id = 11",
-    "pf9_mastery_state": "SELECT student_id, concept_key, CASE WHEN n = 0 THEN 'no_evidence' WHEN u > 0.22e0 AND n < 3 THEN 'uncertain' WHEN m >= 0.7e0 THEN 'mastered' WHEN m >= 0.45e0 THEN 'developing' ELSE 'gap' END AS state FROM mastery",
+    "pf9_mastery_state": "SELECT student_id, concept_key, CASE WHEN n = 0 THEN 'no_evidence' WHEN u >= 0.22e0 AND n < 3 THEN 'uncertain' WHEN m >= 0.7e0 THEN 'mastered' WHEN m >= 0.45e0 THEN 'developing' ELSE 'gap' END AS state FROM mastery",
     "pf11_attainment_level": "SELECT concept_key, round(avg(m), 6) AS f, CASE WHEN avg(m) >= 0.8e0 THEN 3 WHEN avg(m) >= 0.7e0 THEN 2 WHEN avg(m) >= 0.6e0 THEN 1 ELSE 0 END AS level FROM mastery GROUP BY concept_key",
     "pf12_effort": "SELECT student_id, concept_key, CASE WHEN n = 0 THEN 'unknown' WHEN m < 0.25e0 THEN 'substantial' WHEN m < 0.5e0 THEN 'moderate' ELSE 'light' END AS effort FROM mastery",
     "pf13_band": "SELECT run_id, CAST(least(4, greatest(0, floor(total * 5))) AS BIGINT) AS band FROM verdict",
     "pf14_why_first": "SELECT run_id, concat('Run ', CAST(run_id AS STRING), ' is ', state, CASE WHEN total < 0.5e0 THEN ' with a low mark' ELSE '' END) AS why FROM verdict",
     "pf15_admitted_tests": "SELECT run_id, item_key FROM item WHERE flag = 'A'",
     "pf16_visibility_default": "SELECT run_id, coalesce(CASE WHEN flag = 'A' THEN TRUE WHEN flag = 'R' THEN FALSE END, submitted_at > TIMESTAMP '1996-01-01 00:00:00') AS visible_only, item_key FROM item",
-    "pf17_payload_defaults": "SELECT doc_id, coalesce(nullif(trim(substr(text, 1, 12)), ''), 'untitled') AS title FROM documents WHERE text IS NOT NULL AND trim(text) <> ''",
+    "pf17_payload_defaults": "SELECT doc_id, coalesce(nullif(trim(text), ''), 'untitled') AS title FROM documents",
     "pf18_enum_coercion": "SELECT event_id, CASE WHEN event_type IN ('view', 'click') THEN event_type ELSE 'basic' END AS category, substr(props, 1, 6) AS note FROM events",
     # joins
     "j1_roster": "SELECT s.student_id, s.name, CAST(count(*) AS BIGINT) AS runs FROM student s JOIN run r ON s.student_id = r.student_id GROUP BY s.student_id, s.name",
@@ -123,7 +123,7 @@ SQL: dict[str, str] = {
     "o14_argmin": "SELECT student_id, min_by(concept_key, m) AS weakest, max_by(concept_key, n) AS most_seen FROM (SELECT student_id, concept_key, m * 1e6 + ascii(concept_key) * 1e-3 AS m, n * 1000 + ascii(concept_key) AS n FROM mastery) AS t GROUP BY student_id",
     # sets
     "u2_difference": "SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_quantity > 25 EXCEPT SELECT l_partkey FROM lineitem WHERE l_discount > 0.09e0",
-    "u3_noise": "SELECT s.student_id FROM student s WHERE s.student_id NOT IN (SELECT r.student_id FROM run r WHERE r.state = 'released')",
+    "u3_noise": "SELECT s.student_id FROM student s WHERE NOT EXISTS (SELECT 1 FROM run r WHERE r.state = 'released' AND r.student_id = s.student_id)",
     "u6_distinct_first": "WITH r AS (SELECT conv_id, role, turn, row_number() OVER (PARTITION BY role, md5(text) ORDER BY conv_id, turn) AS rn FROM conversations) SELECT conv_id, role, turn FROM r WHERE rn = 1",
     "u7_union_sorted": "SELECT student_id, @JOINED(@DISTINCT(@LIST(state))) AS reasons FROM run GROUP BY student_id",
     "u8_rubric_diff": "WITH a AS (SELECT item_key, count(*) AS w FROM item WHERE flag = 'A' GROUP BY item_key), b AS (SELECT item_key, count(*) AS w FROM item WHERE flag = 'R' AND item_key > 2 GROUP BY item_key) SELECT coalesce(a.item_key, b.item_key) AS item_key, CASE WHEN a.item_key IS NULL THEN 'add' WHEN b.item_key IS NULL THEN 'delete' WHEN a.w <> b.w THEN 'reweight' ELSE 'same' END AS change FROM a FULL JOIN b ON a.item_key = b.item_key",
