@@ -1,9 +1,11 @@
-"""Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, one occurrence per group.
+"""Fuzzy line dedup: SimHash of normalised lines, least-hash bands, edit similarity, one occurrence per group.
 
-Equal normalised lines are one line from the start. Lines whose fingerprints differ in at most `BUDGET` bits meet in a
-pigeonhole block; what is linked that way is a candidate group, and within it such pairs are verified by edit
-similarity, pairs that are joined already excepted. Of each group of verified links the first occurrence (smallest
-document, then line) stays.
+Equal normalised lines are one line from the start. Pigeonhole blocks of a SimHash can't find lines from an edit
+similarity of 0.8 on: such fingerprints differ in 10 to 20 of 64 bits, for which blocks select nothing. Lines therefore
+meet in bands of least hashes of their word pairs (byte pairs, if the line has few words), and the SimHash is the check
+of those that meet: within `BUDGET` bits they are linked. What is linked that way is a candidate group, and within it
+pairs within the budget are verified by edit similarity, pairs that are joined already excepted. Of each group of
+verified links the first occurrence (smallest document, then line) stays.
 """
 
 from __future__ import annotations
@@ -14,12 +16,21 @@ from pyspark.sql import DataFrame, functions as F
 
 from gradeloom.llm import bytetext as B
 from gradeloom.llm.components import components
-from gradeloom.llm.simhash import fingerprint_links
+from gradeloom.llm.nearcopies import whole_runs
 from gradeloom.llm.trie import trie_links
 from gradeloom.runtime import ship, stored
 
-BUDGET = 3
+#: Bits in which candidates may differ: with a fifth of the words changed 13 +- 3.2 do, of unrelated lines 32 +- 4.
+BUDGET = 22
 SIMILARITY = 0.8
+#: A band is the least hash of so many functions: word pairs, or byte pairs of lines of up to FEW words.
+BANDS, ROWS, FEW_ROWS, FEW = 12, 2, 3, 3
+#: Bytes of a band's key.
+KEY = 5
+_RNG = np.random.Generator(np.random.PCG64(8))
+_FACTORS = _RNG.integers(0, 1 << 63, (BANDS, FEW_ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_TWO_BYTES = _RNG.integers(0, 1 << 63, 1 << 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BEGIN, _END, _WEAVE = (np.uint64(x) for x in _RNG.integers(1 << 62, 1 << 63, 3, dtype=np.uint64) | np.uint64(1))
 #: Lines of fewer words stay as they are, if not said otherwise.
 LEAST_WORDS = 5
 
@@ -66,8 +77,75 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     return edit_distance(a, b, most) <= most
 
 
+def _byte_pairs(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the byte pairs of lines with single blanks between and around words, and each line's begin and end in them.
+
+    starts, ends: the words; first: whether a word is its line's first.
+    """
+    size = ends - starts
+    room = size + 1 + first
+    at = np.cumsum(room) - room
+    step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    out = np.full(int(room.sum()), 32, np.uint16)
+    out[np.repeat(at + first, size) + step] = low[np.repeat(starts, size) + step]
+    begin = at[first]
+    return _TWO_BYTES[out[:-1] << np.uint16(8) | out[1:]], begin, np.append(begin[1:], len(out)) - 1
+
+
+def _band_keys(least, rows: int, lines: int) -> np.ndarray:
+    """(lines, BANDS * KEY) bytes; least(factor): each line's least hash under a function."""
+    out = np.empty((lines, BANDS, KEY), np.uint8)
+    for band in range(BANDS):
+        key = np.full(lines, band * 8 + rows, np.uint64)
+        for factor in _FACTORS[band, :rows]:
+            key = B.mix64(B.mix64(key) + least(factor))
+        out[:, band] = key.view(np.uint8).reshape(-1, 8)[:, :KEY]
+    return out.reshape(lines, -1)
+
+
+def _simhashes(of: np.ndarray, votes: np.ndarray, lines: int) -> np.ndarray:
+    """SimHash of each line by its distinct votes: repeated ones would draw unlike lines together. Every line has a vote."""
+    one = np.unique((of.astype(np.uint64) << np.uint64(44)) | (votes >> np.uint64(20)), return_index=True)[1]
+    of, votes = of[one], votes[one]
+    fp, begin, i = np.zeros(lines, np.uint64), np.searchsorted(of, np.arange(lines + 1)), 0
+    while i < lines:  # blocks of whole lines
+        j = max(i + 1, int(np.searchsorted(begin, begin[i] + (1 << 17), "right")) - 1)
+        bits = np.unpackbits(votes[begin[i] : begin[j]].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        count = np.add.reduceat(bits, begin[i:j] - begin[i], axis=0, dtype=np.int32)
+        fp[i:j] = np.packbits(2 * count > np.diff(begin[i : j + 1])[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+        i = j
+    return fp
+
+
+def marks(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """SimHash and band keys of lines. starts, ends, words: bounds and hashes of their words; new: each line's first word."""
+    size = np.diff(np.append(new, len(words)))
+    of = np.repeat(np.arange(len(new)), size)
+    few = size <= FEW
+    votes, keys = [], np.empty((len(new), BANDS * KEY), np.uint8)
+    if not few.all():
+        mine = ~few[of]
+        w, n = words[mine], size[~few]
+        begin = np.cumsum(n) - n
+        before = np.concatenate([w[:1], w[:-1]])
+        before[begin] = _BEGIN
+        pair, tail = B.mix64(w + before * _WEAVE), B.mix64(_END + w[begin + n - 1] * _WEAVE)
+        keys[~few] = _band_keys(lambda factor: np.minimum(np.minimum.reduceat(pair * factor, begin), tail * factor), ROWS, len(n))
+        votes.append((of[mine], w))
+    if few.any():
+        mine = few[of]
+        pair, begin, end = _byte_pairs(low, starts[mine], ends[mine], np.isin(np.flatnonzero(mine), new))
+        cut = np.column_stack([begin, end]).ravel()
+        last = np.append(pair, np.uint64(0))  # so that the last line's end is a position
+        keys[few] = _band_keys(lambda factor: np.minimum.reduceat(last * factor, cut)[::2], FEW_ROWS, len(begin))
+        inside = np.ones(len(last), bool)
+        inside[end] = False
+        votes.append((np.repeat(np.flatnonzero(few), end - begin), last[inside]))
+    return _simhashes(np.concatenate([v[0] for v in votes]), np.concatenate([v[1] for v in votes]), len(new)), keys
+
+
 def line_table(docs: DataFrame, text: str, key: str, least_words: int) -> DataFrame:
-    """key, doc (the text's hash), line (from 0), h (of the normalised line) and fp of every line of so many words or more."""
+    """key, doc (the text's hash), line (from 0), h (of the normalised line), fp and f (band keys) of every line of so many words or more."""
     ship(docs.sparkSession)
 
     def run(batches):
@@ -88,26 +166,48 @@ def line_table(docs: DataFrame, text: str, key: str, least_words: int) -> DataFr
                 place = np.arange(len(words)) - np.repeat(new, size)
                 weave = B.mix64(words + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
                 h = B.mix64(np.add.reduceat(weave, new) + size.astype(np.uint64))[keep]
-                fp = np.zeros(len(new), np.uint64)
-                # a line's distinct words vote: repeated words would draw unlike lines together
-                of = np.repeat(np.arange(len(new)), size)
-                one = np.unique((of.astype(np.uint64) << np.uint64(44)) | (words >> np.uint64(20)), return_index=True)[1]
-                of, votes = of[one], words[one]
-                begin = np.searchsorted(of, np.arange(len(new) + 1))
-                i = 0
-                while i < len(new):  # blocks of whole lines
-                    j = max(i + 1, int(np.searchsorted(begin, begin[i] + (1 << 17), "right")) - 1)
-                    bits = np.unpackbits(votes[begin[i] : begin[j]].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                    count = np.add.reduceat(bits, begin[i:j] - begin[i], axis=0, dtype=np.int32)
-                    fp[i:j] = np.packbits(2 * count > np.diff(begin[i : j + 1])[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
-                    i = j
+                fp, f = marks(low, starts, ends, words, new)
                 first = new[keep]
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(key).take(pa.array(row[first])), piece.column("doc").take(pa.array(row[first])), pa.array(line[first].astype(np.int32)), pa.array(h.view(np.int64)), pa.array(fp[keep].view(np.int64))], [key, "doc", "line", "h", "fp"]
+                    [piece.column(key).take(pa.array(row[first])), piece.column("doc").take(pa.array(row[first])), pa.array(line[first].astype(np.int32)), pa.array(h.view(np.int64)), pa.array(fp[keep].view(np.int64)), pa.array([x.tobytes() for x in f[keep]], pa.binary())],
+                    [key, "doc", "line", "h", "fp", "f"],
                 )
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text, F.xxhash64(text).alias("doc")).mapInArrow(run, f"`{key}` {kind}, doc bigint, line int, h bigint, fp bigint")
+    return docs.select(key, text, F.xxhash64(text).alias("doc")).mapInArrow(run, f"`{key}` {kind}, doc bigint, line int, h bigint, fp bigint, f binary")
+
+
+def candidate_links(own: DataFrame) -> DataFrame:
+    """Links (a, b) that join fingerprints within the budget that share a band; own: fp, f. A task holds 16 bytes per line of its largest band key."""
+
+    def deal(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1 << 14):
+                part = batch.slice(i, 1 << 14)
+                f = np.frombuffer(b"".join(part.column("f").to_pylist()), np.uint8).reshape(-1, BANDS, KEY)
+                for band in range(BANDS):
+                    k = np.zeros((len(f), 8), np.uint8)
+                    k[:, :KEY], k[:, KEY] = f[:, band], band
+                    yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)[:, 0]), part.column("fp")], ["k", "fp"])
+
+    def join(batches):
+        for t in whole_runs(batches, "k"):
+            k, fp = t["k"].to_numpy(), t["fp"].to_numpy().view(np.uint64)
+            edge = np.concatenate([[0], np.flatnonzero(np.diff(k)) + 1, [len(k)]])
+            size = np.diff(edge)
+            two = edge[:-1][size == 2]
+            two = two[(np.bitwise_count(fp[two] ^ fp[two + 1]) <= BUDGET) & (fp[two] != fp[two + 1])]
+            a, b = [fp[two]], [fp[two + 1]]
+            for i in np.flatnonzero(size > 2):
+                v = np.unique(fp[edge[i] : edge[i + 1]])
+                root = trie_links(v, BUDGET)
+                moved = np.flatnonzero(root != np.arange(len(v)))
+                a.append(v[root[moved]])
+                b.append(v[moved])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], ["a", "b"])
+
+    dealt = own.select("fp", "f").mapInArrow(deal, "k bigint, fp bigint")
+    return dealt.repartition("k").sortWithinPartitions("k").mapInArrow(join, "a bigint, b bigint")
 
 
 def _verified(members: DataFrame) -> DataFrame:
@@ -153,8 +253,8 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", key: str = "doc_id", lea
     """
     docs = docs.drop("n_lines", "n_removed", "removed_lines")
     lines = stored(line_table(docs, text, key, max(1, least_words)), "lines")
-    own = stored(lines.groupBy("h", "fp").agg(F.min(F.struct(key, "doc", "line")).alias("first"), F.count(F.lit(1)).alias("n")), "line-kinds")
-    roots = components(fingerprint_links(own.select("fp").distinct(), BUDGET)).toDF("fp", "g")
+    own = stored(lines.groupBy("h", "fp").agg(F.min(F.struct(key, "doc", "line")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("f").alias("f")), "line-kinds")
+    roots = components(candidate_links(own)).toDF("fp", "g")
     # lines that share a fingerprint are candidates as well
     many = own.groupBy("fp").agg(F.count(F.lit(1)).alias("k"))
     open_ = own.join(many, "fp").join(roots, "fp", "left").filter("g is not null or k > 1").select("h", "fp", F.coalesce("g", "fp").alias("g"), "first")

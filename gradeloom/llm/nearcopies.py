@@ -115,7 +115,7 @@ def _joined(n: int, near) -> np.ndarray:
     return group
 
 
-def _whole(batches, by: str):
+def whole_runs(batches, by: str):
     """Batches that hold whole runs of equal `by`."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -138,7 +138,7 @@ def candidate_links(nodes: DataFrame) -> DataFrame:
     """Links (a, b) that join the candidate groups; a task holds SKETCH + 16 bytes per member of its largest bucket."""
 
     def run(batches):
-        for t in _whole(batches, "k"):
+        for t in whole_runs(batches, "k"):
             k, node = t["k"].to_numpy(), t["node"].to_numpy()
             s = np.frombuffer(b"".join(t["s"].to_pylist()), np.uint8).reshape(-1, SKETCH)
             edge = np.concatenate([[0], np.flatnonzero(np.diff(k)) + 1, [len(k)]])
@@ -198,7 +198,7 @@ def verified_roots(docs: DataFrame, members: DataFrame, *, text: str, key: str,
                 yield pa.RecordBatch.from_arrays([part.column("g"), part.column("node"), pa.array(own, pa.binary())], ["g", "node", "s"])
 
     def solve(batches):
-        for t in _whole(batches, "g"):
+        for t in whole_runs(batches, "g"):
             g, node, s = t["g"].to_numpy(), t["node"].to_numpy(), [np.frombuffer(x.as_buffer(), np.uint64) for x in t["s"]]
             edge = np.concatenate([[0], np.flatnonzero(np.diff(g)) + 1, [len(g)]])
             root = np.concatenate([node[a:b][exact_groups(s[a:b])] for a, b in zip(edge[:-1], edge[1:], strict=True)])

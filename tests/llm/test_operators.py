@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -404,6 +405,51 @@ def test_lines_of_any_length_that_repeat(spark):
     assert got[(1, "short line\n", 3, 1)] == 1 and got[(2, "\nx y", 4, 2)] == 1
 
 
+def test_lines_that_are_alike_are_found(spark):
+    long = "the quick brown fox jumps over the lazy dog while many people look on in wonder and say nothing at all today"
+    rows = [(1, f"{long}\nalone"), (2, long.replace("wonder", "wander")), (3, "alome"), (4, long[: len(long) // 2]), (5, "a loan, not alike at all")]
+    got = {r.doc_id: r.removed_lines for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), least_words=1).collect()}
+    assert got == {1: [], 2: [0], 3: [0], 4: [], 5: []}
+
+
+def test_lines_against_all_pairs(spark):
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("aeioustrnl") for _ in range(rng.randint(1, 9))) for _ in range(400)]
+    texts, pairs = [], []
+    for i in range(400):
+        words = [rng.choice(vocabulary) for _ in range(rng.choice([1, 2, 4, 6, 9, 14, 25, 60]))]
+        other = list(words)
+        for at in rng.sample(range(len(words)), max(1, len(words) // 8)):
+            k = rng.randrange(len(other[at]))
+            other[at] = other[at][:k] + rng.choice("xyz") + other[at][k + rng.randint(0, 1) :]
+        texts += [" ".join(words), " ".join(other)]
+    own = sorted(set(texts), key=len)
+    for i, a in enumerate(own):
+        for b in own[i + 1 :]:
+            if len(b) > len(a) / 0.8:
+                break
+            if lines.similar(a, b):
+                pairs.append((a, b))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    removed = {r.doc_id: r.n_removed for r in lines.dedup_lines(docs, least_words=1).collect()}
+    # a line is removed where brute force has an earlier one in its group, and nowhere else
+    up = {t: t for t in own}
+
+    def find(t):
+        while up[t] != t:
+            t = up[t]
+        return t
+
+    for a, b in pairs:
+        up[find(a)] = find(b)
+    seen, wanted = set(), {}
+    for i, t in enumerate(texts):
+        wanted[i] = int(find(t) in seen)
+        seen.add(find(t))
+    assert all(wanted[i] >= n for i, n in removed.items())
+    assert sum(removed.values()) >= 0.95 * sum(wanted.values()) > 300
+
+
 @pytest.mark.parametrize("a,b,d", [("", "", 0), ("abc", "", 3), ("kitten", "sitting", 3), ("flaw", "lawn", 2)])
 def test_edit_distance(a, b, d):
     assert lines.edit_distance(a, b, 9) == d and lines.edit_distance(b, a, max(0, d - 1)) == d
