@@ -3,15 +3,18 @@
 Equal normalised lines are one line from the start. Pigeonhole blocks of a SimHash can't find lines from an edit
 similarity of 0.8 on: such fingerprints differ in 10 to 20 of 64 bits, for which blocks select nothing. Lines therefore
 meet in bands of least hashes of their word pairs (byte pairs, if the line has few words), and the SimHash is the check
-of those that meet: within `BUDGET` bits they are linked. What is linked that way is a candidate group, and within it
-pairs that meet in a band within the budget are verified by edit similarity, pairs that are joined already excepted. Of each group of
-verified links the first occurrence (smallest document, then line) stays.
+of those that meet: pairs within `BUDGET` bits are candidates. In the first band that a pair shares it is verified by
+edit similarity, unless verified links have joined it there already. Of each group of verified links the first
+occurrence (smallest document, then line) stays.
 """
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from gradeloom.llm import bytetext as B
@@ -31,29 +34,38 @@ _RNG = np.random.Generator(np.random.PCG64(8))
 _FACTORS = _RNG.integers(0, 1 << 63, (BANDS, FEW_ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TWO_BYTES = _RNG.integers(0, 1 << 63, 1 << 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BEGIN, _END, _WEAVE = (np.uint64(x) for x in _RNG.integers(1 << 62, 1 << 63, 3, dtype=np.uint64) | np.uint64(1))
+#: Words up to which lines are aligned by words before their distance is computed.
+MATCHED = 400
 #: Lines of fewer words stay as they are, if not said otherwise.
 LEAST_WORDS = 5
 
 
+def _middles(a: str, b: str) -> tuple[str, str]:
+    """a and b without their common end and beginning."""
+    n, m = 0, min(len(a), len(b))
+    while n < m and a[-1 - n] == b[-1 - n]:
+        n += 1
+    a, b = a[: len(a) - n], b[: len(b) - n]
+    k = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return a[k:], b[k:]
+
+
 def edit_distance(a: str, b: str, most: int) -> int:
     """Levenshtein distance, or most + 1 where it is larger; bit-parallel over the longer text."""
     if len(a) < len(b):
         a, b = b, a
     if len(a) - len(b) > most:
         return most + 1
-    while b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
-    k = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(b))
-    a, b = a[k:], b[k:]
+    a, b = _middles(a, b)
     if not b:
         return min(len(a), most + 1)
     where: dict[str, int] = {}
     for i, x in enumerate(a):
         where[x] = where.get(x, 0) | 1 << i
     full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    up, down, score = full, 0, len(a)
+    up, down, score, apart, get = full, 0, len(a), len(a) - len(b), where.get
     for n, x in enumerate(b, 1):
-        m = where.get(x, 0)
+        m = get(x, 0)
         zero = (((m & up) + up) ^ up) | m | down
         plus = down | ~(zero | up) & full
         minus = up & zero
@@ -67,14 +79,37 @@ def edit_distance(a: str, b: str, most: int) -> int:
         minus = minus << 1 & full
         up = minus | ~(zero | plus) & full
         down = plus & zero
+        if not n & 31:  # the distance is at least that of two beginnings of one length, less what the lengths differ
+            head = (1 << n) - 1
+            if n + (up & head).bit_count() - (down & head).bit_count() - apart > most:
+                return most + 1
     return score
 
 
+def _surely_within(a: str, b: str, most: int) -> bool:
+    """Whether replacing whole words is at most so many edits; False decides nothing."""
+    if max(len(a), len(b)) <= most:
+        return True
+    v, w = a.split(" "), b.split(" ")
+    if len(v) == len(w) and sum(max(len(x), len(y)) for x, y in zip(v, w, strict=True) if x != y) <= most:
+        return True
+    if max(len(v), len(w)) > MATCHED:
+        return False
+    cost = 0
+    for kind, i, j, k, m in SequenceMatcher(None, v, w, autojunk=False).get_opcodes():
+        if kind != "equal":  # a space goes or comes with the words
+            cost += max(sum(map(len, v[i:j])) + j - i, sum(map(len, w[k:m])) + m - k)
+    return cost <= most
+
+
 def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     """1 - distance / the longer length >= least."""
     longest = max(len(a), len(b))
     most = int((1 - least) * longest + 1e-9)
-    return edit_distance(a, b, most) <= most
+    if abs(len(a) - len(b)) > most:
+        return False
+    a, b = _middles(a, b)
+    return _surely_within(a, b, most) or edit_distance(a, b, most) <= most
 
 
 def _byte_pairs(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -177,8 +212,12 @@ def line_table(docs: DataFrame, text: str, key: str, least_words: int) -> DataFr
     return docs.select(key, text, F.xxhash64(text).alias("doc")).mapInArrow(run, f"`{key}` {kind}, doc bigint, line int, h bigint, fp bigint, f binary")
 
 
-def candidate_links(own: DataFrame) -> DataFrame:
-    """Links (a, b) that join fingerprints within the budget that share a band; own: fp, f. A task holds 16 bytes per line of its largest band key."""
+def candidates(own: DataFrame) -> DataFrame:
+    """h, g, band: every line once for each band in which another one is within the budget; own: h, fp, f.
+
+    g names the lines of a band key that steps within the budget connect. A task holds 24 bytes per line of its largest
+    band key.
+    """
 
     def deal(batches):
         for batch in batches:
@@ -188,60 +227,79 @@ def candidate_links(own: DataFrame) -> DataFrame:
                 for band in range(BANDS):
                     k = np.zeros((len(f), 8), np.uint8)
                     k[:, :KEY], k[:, KEY] = f[:, band], band
-                    yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)[:, 0]), part.column("fp")], ["k", "fp"])
+                    yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)[:, 0]), part.column("h"), part.column("fp")], ["k", "h", "fp"])
 
     def join(batches):
         for t in whole_runs(batches, "k"):
-            k, fp = t["k"].to_numpy(), t["fp"].to_numpy().view(np.uint64)
+            k, h, fp = (t[c].to_numpy() for c in ("k", "h", "fp"))
+            k, fp = k.view(np.uint64), fp.view(np.uint64)
             edge = np.concatenate([[0], np.flatnonzero(np.diff(k)) + 1, [len(k)]])
             size = np.diff(edge)
             two = edge[:-1][size == 2]
-            two = two[(np.bitwise_count(fp[two] ^ fp[two + 1]) <= BUDGET) & (fp[two] != fp[two + 1])]
-            a, b = [fp[two]], [fp[two + 1]]
+            two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= BUDGET]
+            rows, lead = [two, two + 1], [fp[two], fp[two]]
             for i in np.flatnonzero(size > 2):
-                v = np.unique(fp[edge[i] : edge[i + 1]])
+                v, at, n = np.unique(fp[edge[i] : edge[i + 1]], return_inverse=True, return_counts=True)
                 root = trie_links(v, BUDGET)
-                moved = np.flatnonzero(root != np.arange(len(v)))
-                a.append(v[root[moved]])
-                b.append(v[moved])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], ["a", "b"])
+                met = np.flatnonzero((np.bincount(root, n, len(v))[root] > 1)[at])
+                rows.append(edge[i] + met)
+                lead.append(v[root[at[met]]])
+            at = np.concatenate(rows)
+            g = B.mix64(k[at] ^ B.mix64(np.concatenate(lead)))
+            band = (k[at] >> np.uint64(8 * KEY)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(g.view(np.int64)), pa.array(band)], ["h", "g", "band"])
 
-    dealt = own.select("fp", "f").mapInArrow(deal, "k bigint, fp bigint")
-    return dealt.repartition("k").sortWithinPartitions("k").mapInArrow(join, "a bigint, b bigint")
+    dealt = own.select("h", "fp", "f").mapInArrow(deal, "k bigint, h bigint, fp bigint")
+    return dealt.repartition("k").sortWithinPartitions("k").mapInArrow(join, "h bigint, g bigint, band int")
 
 
 def _verified(members: DataFrame) -> DataFrame:
-    """Links (a, b) between the hashes of similar lines. members: g, h, fp, f, t (the normalised line), one row per line."""
+    """Links (a, b) between the hashes of similar lines. members: g, band, h, fp, f, t (the normalised line).
+
+    A pair is verified in the first band that it shares, by lengths and counts of letters before the distance, unless
+    verified links of the group have joined it already. A task holds the lines of its largest group.
+    """
 
-    def group(h, fp, f, t):
+    def open_pairs(i, j, band, keys, size, counts):
+        """Pairs that share no band before, and whose lengths and counts of letters differ by no more than the edits allowed: one changes a count by one up, one down or both."""
+        most = ((1 - SIMILARITY) * np.maximum(size[i], size[j]) + 1e-9).astype(np.int64)
+        at = np.flatnonzero((np.abs(size[i] - size[j]) <= most) & ((keys[i] == keys[j]).argmax(1) == band))
+        more = counts(i[at]) - counts(j[at])
+        return at[np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1)) <= most[at]]
+
+    def letters(t):
+        return np.array([np.bincount(np.frombuffer(x.encode("utf-32-le"), np.uint32) & np.uint32(63), minlength=64) for x in t], np.int32).reshape(-1, 64)
+
+    def group(band, h, fp, keys, size, t):
         order = np.argsort(fp, kind="stable")
-        k = np.zeros((len(f), BANDS, 8), np.uint8)
-        k[:, :, :KEY] = np.frombuffer(b"".join(f), np.uint8).reshape(-1, BANDS, KEY)
-        k = k.view(np.uint64)[order, :, 0]
-        root = trie_links(fp[order], BUDGET, lambda i, j: (k[i] == k[j]).any() and similar(t[order[i]], t[order[j]]))
-        moved = np.flatnonzero(root != np.arange(len(root)))
-        if len(moved):
-            yield pa.RecordBatch.from_arrays([pa.array(h[order[root[moved]]]), pa.array(h[order[moved]])], ["a", "b"])
+        h, fp, keys, size, t = h[order], fp[order], keys[order], size[order], [t[i] for i in order]
+        counts = letters(t)
 
-    def run(batches):
-        now, held = None, []
+        def sift(i, j):
+            keep = np.zeros(len(i), bool)
+            keep[open_pairs(i, j, band, keys, size, counts.__getitem__)] = True
+            return keep
 
-        def done():
-            if sum(len(x[0]) for x in held) > 1:
-                yield from group(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), [f for x in held for f in x[2]], [t for x in held for t in x[3]])
+        root = trie_links(fp, BUDGET, lambda i, j: similar(t[i], t[j]), sift=sift)
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        return h[root[moved]], h[moved]
 
-        for batch in batches:
-            g = batch.column("g").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(g)) + 1), len(g)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if b <= a:
-                    continue
-                if now != g[a]:
-                    yield from done()
-                    now, held = g[a], []
-                part = batch.slice(a, b - a)
-                held.append((part.column("h").to_numpy(), part.column("fp").to_numpy().view(np.uint64), part.column("f").to_pylist(), part.column("t").to_pylist()))
-        yield from done()
+    def run(batches):
+        for m in whole_runs(batches, "g"):
+            g, band, h, fp = (m[c].to_numpy() for c in ("g", "band", "h", "fp"))
+            fp, t, size = fp.view(np.uint64), m["t"], pc.utf8_length(m["t"]).to_numpy()
+            keys = np.zeros((len(g), BANDS, 8), np.uint8)
+            keys[:, :, :KEY] = np.frombuffer(b"".join(m["f"].to_pylist()), np.uint8).reshape(-1, BANDS, KEY)
+            keys = keys.view(np.uint64)[:, :, 0]
+            edge = np.concatenate([[0], np.flatnonzero(np.diff(g)) + 1, [len(g)]])
+            many = np.diff(edge) > 2
+            two = edge[:-1][np.diff(edge) == 2]
+            two = two[open_pairs(two, two + 1, band[two], keys, size, lambda i: letters(t.take(i).to_pylist()))]
+            two = two[[similar(t[i].as_py(), t[i + 1].as_py()) for i in two.tolist()]] if len(two) else two
+            links = [(h[two], h[two + 1])]
+            for x, y in zip(edge[:-1][many], edge[1:][many], strict=True):
+                links.append(group(band[x], h[x:y], fp[x:y], keys[x:y], size[x:y], t[x:y].to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*links, strict=True)], ["a", "b"])
 
     return members.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a bigint, b bigint")
 
@@ -257,17 +315,14 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", key: str = "doc_id", lea
     docs = docs.drop("n_lines", "n_removed", "removed_lines")
     lines = stored(line_table(docs, text, key, max(1, least_words)), "lines")
     own = stored(lines.groupBy("h", "fp").agg(F.min(F.struct(key, "doc", "line")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("f").alias("f")), "line-kinds")
-    roots = components(candidate_links(own)).toDF("fp", "g")
-    # lines that share a fingerprint are candidates as well
-    many = own.groupBy("fp").agg(F.count(F.lit(1)).alias("k"))
-    open_ = own.join(many, "fp").join(roots, "fp", "left").filter("g is not null or k > 1").select("h", "fp", F.coalesce("g", "fp").alias("g"), "f", "first")
-    first = open_.select("h", "fp", "g", "f", F.col(f"first.{key}").alias("k0"), F.col("first.doc").alias("d0"), F.col("first.line").alias("l0"))
-    wanted = first.groupBy("k0", "d0").agg(F.collect_list(F.struct("h", "fp", "g", "f", "l0")).alias("w"))
+    met = stored(candidates(own), "line-candidates")
+    open_ = own.join(met.select("h").distinct(), "h").select("h", "fp", "f", F.col(f"first.{key}").alias("k0"), F.col("first.doc").alias("d0"), F.col("first.line").alias("l0"))
+    wanted = open_.groupBy("k0", "d0").agg(F.collect_list(F.struct("h", "fp", "f", "l0")).alias("w"))
     marked = docs.select(F.col(key).alias("k1"), F.xxhash64(text).alias("d1"), F.col(text).alias("__text"))
     text_of = marked.join(wanted, F.col("k1").eqNullSafe(F.col("k0")) & (F.col("d1") == F.col("d0"))).select(F.split("__text", "\n", -1).alias("s"), F.explode("w").alias("w"))
     plain = F.trim(F.regexp_replace(F.translate(F.get("s", F.col("w.l0")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+", " "))
-    members = text_of.select("w.h", "w.fp", "w.g", "w.f", plain.alias("t")).dropDuplicates(["h"])
-    groups = components(_verified(members)).toDF("h", "root")
+    texts = text_of.select("w.h", "w.fp", "w.f", plain.alias("t")).dropDuplicates(["h"])
+    groups = components(_verified(met.join(texts, "h"))).toDF("h", "root")
     led = own.join(groups, "h", "left").withColumn("root", F.coalesce("root", "h"))
     lead = led.groupBy("root").agg(F.min("first").alias("lead"), F.sum("n").alias("all")).filter("all > 1")
     repeat = stored(led.join(lead, "root").select("h", "lead"), "line-leads")

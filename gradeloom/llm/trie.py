@@ -36,11 +36,12 @@ class Groups:
             x = y
 
 
-def trie_links(values: np.ndarray, budget: int, agree=None, more: np.ndarray | None = None, links: list | None = None) -> np.ndarray:
+def trie_links(values: np.ndarray, budget: int, agree=None, more: np.ndarray | None = None, links: list | None = None, sift=None) -> np.ndarray:
     """Root position of each of the sorted uint64 values: values within the budget of each other are joined, if agree(i, j).
 
     more: a second word of each value, whose differing bits count towards the budget as well. links: receives the pairs
-    that joined two groups, the nearest of a block first.
+    that joined two groups, the nearest of a block first. sift(i, j): which of the pairs, given as two arrays, agree is
+    asked for at all.
 
     Nodes are ranges of the sorted array that share their leading bits. Pairs of nodes are walked together from the
     root; the bits in which their prefixes differ add up, and a pair is left once they pass the budget. Pairs whose
@@ -68,6 +69,8 @@ def trie_links(values: np.ndarray, budget: int, agree=None, more: np.ndarray | N
             open_ = np.flatnonzero(r != s)
             if agree is None:  # of pairs between the same two groups, one is enough
                 open_ = open_[np.sort(np.unique(r[open_] * n + s[open_], return_index=True)[1])]
+            if sift is not None and len(open_):
+                open_ = open_[sift(a + at[0][open_], c + at[1][open_])]
             for i, j in zip(at[0][open_], at[1][open_], strict=True):
                 i, j = a + int(i), c + int(j)
                 if (not same or i < j) and (agree is None or (groups.find(i) != groups.find(j) and agree(i, j))):
