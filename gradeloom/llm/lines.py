@@ -215,8 +215,8 @@ def line_table(docs: DataFrame, text: str, key: str, least_words: int) -> DataFr
 def candidates(own: DataFrame) -> DataFrame:
     """h, g, band: every line once for each band in which another one is within the budget; own: h, fp, f.
 
-    g names the lines of a band key that steps within the budget connect. A task holds 24 bytes per line of its largest
-    band key.
+    g names the set of lines of a band key that steps within the budget connect; the same set in several bands is one
+    group, with the least of them. A task holds 24 bytes per line of its largest band key.
     """
 
     def deal(batches):
@@ -237,20 +237,25 @@ def candidates(own: DataFrame) -> DataFrame:
             size = np.diff(edge)
             two = edge[:-1][size == 2]
             two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= BUDGET]
-            rows, lead = [two, two + 1], [fp[two], fp[two]]
+            mark = B.mix64(h.view(np.uint64))
+            pair = mark[two] + mark[two + 1]
+            rows, name = [two, two + 1], [pair, pair]
             for i in np.flatnonzero(size > 2):
                 v, at, n = np.unique(fp[edge[i] : edge[i + 1]], return_inverse=True, return_counts=True)
                 root = trie_links(v, BUDGET)
                 met = np.flatnonzero((np.bincount(root, n, len(v))[root] > 1)[at])
                 rows.append(edge[i] + met)
-                lead.append(v[root[at[met]]])
+                total = np.zeros(len(v), np.uint64)
+                np.add.at(total, root[at], mark[edge[i] : edge[i + 1]])
+                name.append(total[root[at[met]]])
             at = np.concatenate(rows)
-            g = B.mix64(k[at] ^ B.mix64(np.concatenate(lead)))
+            g = B.mix64(np.concatenate(name))
             band = (k[at] >> np.uint64(8 * KEY)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(g.view(np.int64)), pa.array(band)], ["h", "g", "band"])
 
     dealt = own.select("h", "fp", "f").mapInArrow(deal, "k bigint, h bigint, fp bigint")
-    return dealt.repartition("k").sortWithinPartitions("k").mapInArrow(join, "h bigint, g bigint, band int")
+    met = dealt.repartition("k").sortWithinPartitions("k").mapInArrow(join, "h bigint, g bigint, band int")
+    return met.groupBy("h", "g").agg(F.min("band").alias("band"))
 
 
 def _verified(members: DataFrame) -> DataFrame:
