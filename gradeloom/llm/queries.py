@@ -7,17 +7,20 @@ from gradeloom.llm.lines import op8_lines
 from gradeloom.llm.lm import op6_lm
 from gradeloom.llm.media import op1_media
 from gradeloom.llm.mixing import op2_mix
+from gradeloom.llm.pieces import op13_pieces
 from gradeloom.llm.quality import op7_quality
 from gradeloom.llm.sharding import op9_shard
 from gradeloom.llm.simhash import op5_simhash
+from gradeloom.llm.spelling import op12_spelling
 from gradeloom.llm.tokenize import op3_tokens
 from gradeloom.llm.warc import op4_warc
+from gradeloom.llm.whitening import op11_whiten
 
 
 def queries() -> dict:
     from corpus_pipeline import run
 
-    own = [op1_media, op2_mix, op3_tokens, op4_warc, op5_simhash, op6_lm, op7_quality, op8_lines, op9_shard, op10_decontaminate]
+    own = [op1_media, op2_mix, op3_tokens, op4_warc, op5_simhash, op6_lm, op7_quality, op8_lines, op9_shard, op10_decontaminate, op11_whiten, op12_spelling, op13_pieces]
     return {f.__name__: f for f in own} | {"pipeline": run}
 
 
@@ -42,7 +45,22 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN hits ON hits.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id LEFT JOIN verbatim ON verbatim.doc_id = d.doc_id
 """
 
+#: The checksum's table and the checksum of each run, counts, words with one code point cut out, near words, and the walk along forms.
+_OP12 = r"""
+WITH RECURSIVE tab AS MATERIALIZED (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, CAST(b AS BIGINT))) AS t),
+runs AS (SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS r FROM documents) AS s WHERE len(r) >= 6 GROUP BY ALL),
+sums AS (SELECT r, k, xor(4294967295, list_reduce(flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || r, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [CAST(195 AS BIGINT), unicode(x) - 64] END)), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295)) AS h FROM runs, tab),
+words AS MATERIALIZED (SELECT w AS word, CAST(sum(k) AS BIGINT) AS n FROM (SELECT k, CASE WHEN h % 199 = 0 THEN substr(r, 1, CAST(h % len(r) AS BIGINT)) || substr(r, CAST(h % len(r) AS BIGINT) + 2) ELSE r END AS w FROM sums) AS s WHERE len(w) >= 6 GROUP BY w HAVING sum(k) >= 5),
+cut AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS v FROM (SELECT word, n, unnest(range(len(word))) AS i FROM words) AS s),
+near AS (SELECT a.word, b.word AS near, b.n AS near_n FROM cut AS a JOIN cut AS b ON a.v = b.v AND a.i = b.i WHERE a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut AS a JOIN words AS b ON a.v = b.word UNION SELECT b.word, a.word, a.n FROM cut AS a JOIN words AS b ON a.v = b.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS f, max(near_n) AS f_n FROM near GROUP BY word),
+found AS MATERIALIZED (SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN f_n >= 5 * n THEN f END AS form, CASE WHEN f_n >= 5 * n THEN f_n END AS form_n FROM words LEFT JOIN best ON best.word = words.word),
+path AS (SELECT word, word AS at, form AS next FROM found UNION ALL SELECT path.word, found.word, found.form FROM path JOIN found ON found.word = path.next)
+SELECT found.word, form, path.at AS root, n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n FROM found JOIN path ON path.word = found.word AND path.next IS NULL
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    """Decontamination alone: hashes, learned models, file formats and hash orders of the others are beyond DuckDB's SQL."""
-    return {"op10_decontaminate": _OP10}
+    """Decontamination and spelling: hashes, learned models, file formats and hash orders of the others are beyond DuckDB's SQL."""
+    return {"op10_decontaminate": _OP10, "op12_spelling": _OP12}
