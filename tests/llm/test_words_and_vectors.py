@@ -145,15 +145,52 @@ def test_pieces_of_odd_texts(spark):
     rows += [(500, None), (501, ""), (502, " "), (503, "   "), (504, "▁"), (None, "no id"), (505, "w" * 200_000), (506, "word " * 40_000), (507, " " * 5000)]
     table = clashing(spark.createDataFrame(rows + rows[:4], "doc_id bigint, text string")).repartition(3)
     wanted = coded(rows + rows[:4])
-    for size in (pieces.BLOCK_BYTES, 50):
-        assert sorted(str(tuple(r)) for r in pieces.encoded(table, MODEL, block_bytes=size).collect()) == wanted
+    for size in (pieces.BLOCK_CHARS, 50):
+        assert sorted(str(tuple(r)) for r in pieces.encoded(table, MODEL, block_chars=size).collect()) == wanted
     assert pieces.encoded(table.limit(0), MODEL).count() == 0
 
 
-def test_each_distinct_word_is_segmented_once(spark):
+def test_each_distinct_word_is_segmented_once(spark, monkeypatch):
     rows = [(i, "one two  three one") for i in range(50)]
     table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
-    blocks = pieces.marked_blocks(table, MODEL, "text", "doc_id", 100)
-    assert sorted(r.word for r in pieces.word_table(blocks, MODEL).collect()) == ["▁one", "▁two", "▁▁three"]
+    asked = pieces.numbered(table, MODEL, "text", "doc_id", 100, texts=False)
+    assert {r.word for r in asked.collect()} == {"▁one", "▁two", "▁▁three"} and asked.count() > 9
+    assert {r.no for r in asked.filter("word = '▁one'").collect()} == {0}
+    own, calls = pieces.pieces(MODEL), []
 
+    class Batches:
+        """The asked words in batches of four, as one task gets them."""
 
+        def __init__(self):
+            import pyarrow as pa
+
+            self.rows = pa.RecordBatch.from_pandas(asked.toPandas().sort_values("word", ignore_index=True))
+
+        def repartition(self, _):
+            return self
+
+        sortWithinPartitions = repartition
+
+        def mapInArrow(self, run, _):
+            return list(run(self.rows.slice(i, 4) for i in range(0, self.rows.num_rows, 4)))
+
+    monkeypatch.setattr(pieces.Pieces, "encode", lambda self, words, f=pieces.Pieces.encode: calls.extend(words) or f(self, words))
+    got = pieces.answers(Batches(), MODEL)
+    assert sorted(calls) == ["▁one", "▁two", "▁▁three"] and own is pieces.pieces(MODEL)
+    assert sum(b.column("n")[0].as_py() for b in got) == asked.count()
+
+
+def test_packed_numbers_come_back():
+    import numpy
+
+    rng = numpy.random.default_rng(1)
+    for a in ([], [0], [127, 128, 16383, 16384, 2097151, 2097152, 268435455], rng.integers(0, 1 << 28, 5000), rng.integers(0, 300, 5000)):
+        assert pieces.unpack(pieces.pack(numpy.array(a, numpy.int64))).tolist() == list(a)
+
+
+def test_texts_that_change_between_readings_fail(spark):
+    table = spark.createDataFrame([(i, f"w{i}") for i in range(20)], "doc_id bigint, text string").repartition(2)
+    sent = pieces.answers(pieces.numbered(table, MODEL, "text", "doc_id", 100, texts=False), MODEL)
+    other = pieces.numbered(table.withColumn("text", F.concat("text", F.lit("x"))), MODEL, "text", "doc_id", 100, texts=True)
+    with pytest.raises(Exception, match="read alike twice"):
+        pieces.assembled(sent, other, MODEL, "bigint").collect()
