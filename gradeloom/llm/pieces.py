@@ -16,6 +16,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from gradeloom.llm import bytetext as B
@@ -123,7 +124,9 @@ def numbered(docs: DataFrame, model: str, text: str, key: str, block_chars: int,
                 sums = np.array([[base + n, len(known), proof(list(known), rank)]] * len(seqs), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(sums[:, 0]), pa.concat_arrays(keys), pa.array([pack(rank[s]) for s in seqs], pa.binary()), pa.array(sums[:, 1]), pa.array(sums[:, 2])], ["block", "key", "seq", "n", "proof"])
             else:
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(known), base + n)), pa.array(list(known), pa.string()), pa.array(rank.astype(np.int32))], ["block", "word", "no"])
+                words = pa.array(list(known), pa.string())
+                order = pc.sort_indices(words)  # like words in a row take less room in the shuffle
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(known), base + n)), words.take(order), pa.array(rank.astype(np.int32)).take(order)], ["block", "word", "no"])
 
     given = docs.select(F.col(text).alias("t"), F.col(key).alias("key"))  # the same columns both times, as what is read may hang on them
     return given.mapInArrow(run, f"block bigint, key {docs.schema[key].dataType.simpleString()}, seq binary, n bigint, proof bigint" if texts else "block bigint, word string, no int")
