@@ -130,9 +130,7 @@ SQL: dict[str, str | tuple[str, str]] = {
     "aj2_flatten_distinct": "SELECT student_id, @JOINED(@DISTINCT(@LIST(concept_key))) AS weak FROM obs WHERE score < 0.2e0 GROUP BY student_id",
     "aj4_json_extract": "SELECT event_id, CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT) AS k FROM events",
     # similarity
-    "i1_winnow": _winnow("SELECT doc_id, CAST(count(*) AS BIGINT) AS prints FROM prints GROUP BY doc_id"),
     "a31_common_prints": _winnow("SELECT h FROM common"),
-    "i3_pair_similarity": _winnow("SELECT a.doc_id AS a, b.doc_id AS b, round(count(*) * 1e0 / (max(x.n) + max(y.n) - count(*)), 6) AS jaccard FROM informative a JOIN informative b ON a.h = b.h AND a.doc_id < b.doc_id JOIN sized x ON x.doc_id = a.doc_id JOIN sized y ON y.doc_id = b.doc_id GROUP BY a.doc_id, b.doc_id HAVING count(*) * 1e0 / (max(x.n) + max(y.n) - count(*)) >= 0.55e0"),
     "ma4_cosine": (
         "SELECT a.vec_id AS a, b.vec_id AS b, round(aggregate(zip_with(a.embedding, b.embedding, (x, y) -> CAST(x AS DOUBLE) * y), 0e0, (s, v) -> s + v) / sqrt(aggregate(a.embedding, 0e0, (s, v) -> s + CAST(v AS DOUBLE) * v) * aggregate(b.embedding, 0e0, (s, v) -> s + CAST(v AS DOUBLE) * v)), 5) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id",
         "SELECT a.vec_id AS a, b.vec_id AS b, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2])) / sqrt(list_sum(list_transform(a.embedding, lambda v: v::DOUBLE * v)) * list_sum(list_transform(b.embedding, lambda v: v::DOUBLE * v))), 5) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id",
