@@ -57,8 +57,8 @@ def _screen(tail: str) -> tuple[str, str]:
 #: Item statistics: share of full marks, point-biserial with the total, correlation with the mastery of the tagged concept.
 _ITEMS = """answers AS (SELECT i.item_key, i.assignment_id, i.score, CASE WHEN i.score >= 0.999e0 THEN 1e0 ELSE 0e0 END AS f, k.total, ms.m FROM item i JOIN mark k ON k.run_id = i.run_id
   JOIN (VALUES (0, 'view'), (1, 'click'), (2, 'signup'), (3, 'error'), (4, 'purchase')) AS t(concept, concept_key) ON t.concept = i.concept LEFT JOIN mastery ms ON ms.student_id = i.student_id AND ms.concept_key = t.concept_key),
-items AS (SELECT item_key, assignment_id, count(*) AS n, avg(f) AS difficulty, CASE WHEN count(*) < 3 OR min(f) = max(f) OR min(total) = max(total) THEN 0e0 ELSE corr(f, total) * sqrt((count(*) - 1e0) / count(*)) END AS discrimination,
-  CASE WHEN count(m) < 3 OR min(m) = max(m) OR min(CASE WHEN m IS NOT NULL THEN score END) = max(CASE WHEN m IS NOT NULL THEN score END) THEN 0e0 ELSE corr(CASE WHEN m IS NOT NULL THEN score END, m) END AS alignment FROM answers GROUP BY item_key, assignment_id)"""
+items AS (SELECT item_key, assignment_id, count(*) AS n, avg(f) AS difficulty, CASE WHEN count(*) < 3 OR min(f) = max(f) OR min(total) = max(total) THEN 0e0 ELSE covar_samp(f, total) / nullif(stddev_samp(f) * stddev_samp(total), 0e0) * sqrt((count(*) - 1e0) / count(*)) END AS discrimination,
+  CASE WHEN count(m) < 3 OR min(m) = max(m) OR min(CASE WHEN m IS NOT NULL THEN score END) = max(CASE WHEN m IS NOT NULL THEN score END) THEN 0e0 ELSE covar_samp(CASE WHEN m IS NOT NULL THEN score END, m) / nullif(stddev_samp(CASE WHEN m IS NOT NULL THEN score END) * stddev_samp(m), 0e0) END AS alignment FROM answers GROUP BY item_key, assignment_id)"""
 #: Thresholds and names of the flags, the gravest first.
 _ITEM_FLAG = "CASE WHEN n < 5 THEN 'insufficient_data' WHEN discrimination < -0.15e0 THEN 'anticorrelated' WHEN difficulty > 0.95e0 THEN 'too_easy' WHEN difficulty < 0.2e0 THEN 'too_hard' WHEN abs(discrimination) < 0.15e0 THEN 'non_discriminating' WHEN alignment < 0.2e0 THEN 'misaligned_concepts' ELSE 'ok' END"
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from gradeloom.functions import checks
-from gradeloom.operators import briefs, clusters, grouped, refresh, similarity, source
+from gradeloom.operators import briefs, clusters, grouped, refresh, similarity, sinks, source
 from gradeloom.plans import authoring, domain, relational
 from gradeloom.plans.evidence import query, rendered
 from gradeloom.sources import fixtures
@@ -20,11 +20,11 @@ _HOURLY = "SELECT event_id, user_id, count(*) OVER s AS n, count(*) OVER s >= 20
 def queries() -> dict:
     """SQL queries by name, then those that need grouped Python functions or a stream."""
     found = {name: query(sql) for name, sql in _SQL.items()}
-    for part in (grouped, source, briefs, clusters, refresh, fixtures, mastery, checks, similarity):
+    for part in (grouped, source, briefs, clusters, refresh, fixtures, mastery, checks, similarity, sinks):
         found |= part.queries()
     return found
 
 
 def oracle_sql() -> dict[str, str]:
     written = {"snk9_attainment_csv": refresh.ATTAINMENT, "t3_rate_windows": _HOURLY}
-    return {name: rendered(sql, duck=True) for name, sql in (_DUCK | written | similarity.oracle_sql()).items()}
+    return {name: rendered(sql, duck=True) for name, sql in (_DUCK | written | similarity.oracle_sql()).items()} | sinks.oracle_sql(rendered)

@@ -43,9 +43,9 @@ _FORMS = {
 _CALL = re.compile(r"@(\w+)\(((?:[^()]|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))*)\)")
 
 
-def rendered(sql: str, duck: bool) -> str:
+def rendered(sql: str, duck: bool, views: str = VIEWS) -> str:
     """The query with its views in front, in one dialect."""
-    text = f"WITH RECURSIVE {VIEWS}, {sql[5:]}" if sql.startswith("WITH ") else f"WITH RECURSIVE {VIEWS} {sql}"
+    text = f"WITH RECURSIVE {views}, {sql[5:]}" if sql.startswith("WITH ") else f"WITH RECURSIVE {views} {sql}"
     text = text.replace("@RLIKE", "SIMILAR TO" if duck else "RLIKE")
     while m := _CALL.search(text):
         text = text[: m.start()] + _FORMS[m[1]][duck].format(m[2]) + text[m.end() :]
@@ -57,9 +57,9 @@ def load(spark: SparkSession, sf_dir: str) -> None:
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
 
 
-def query(sql: str):
+def query(sql: str, views: str = VIEWS):
     """A registered query: loads the tables it names and runs its Spark form."""
-    text = rendered(sql, duck=False)
+    text = rendered(sql, duck=False, views=views)
     used = [t for t in TABLES if re.search(rf"\b{t}\b", text)]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:

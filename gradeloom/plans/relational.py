@@ -7,14 +7,8 @@ SQL: dict[str, str] = {
     "src3_point_lookup": "SELECT * FROM run WHERE run_id = 7",
     "src4_bundle_ingest": "SELECT doc_id, source || '/' || lang || '.txt' AS path, n_chars, n_chars > 4096 AS too_large FROM documents WHERE lang IN ('en', 'de')",
     "src7_model_prior_merge": "SELECT p.k, coalesce(l.w, p.w) AS w FROM (VALUES ('bias', 0.10e0), ('agreement', 0.42e0), ('coverage', 0.14e0)) AS p(k, w) LEFT JOIN (VALUES ('coverage', 0.5e0)) AS l(k, w) ON p.k = l.k",
-    "snk1_mastery_upsert": "WITH old AS (SELECT * FROM mastery WHERE student_id % 2 = 0) SELECT coalesce(n.student_id, o.student_id) AS student_id, coalesce(n.concept_key, o.concept_key) AS concept_key, round(coalesce(n.m, o.m) + 1e-7, 4) AS estimate FROM mastery n FULL JOIN old o ON n.student_id = o.student_id AND n.concept_key = o.concept_key",
-    "snk2_item_stats_upsert": "WITH fresh AS (SELECT item_key, assignment_id, avg(score) AS d FROM item GROUP BY item_key, assignment_id) SELECT f.item_key, f.assignment_id, round(f.d, 6) AS difficulty FROM fresh f",
-    "snk3_label_carry": "WITH old AS (SELECT concept_key, 'kept' AS label FROM mastery WHERE m < 0.3e0 GROUP BY concept_key) SELECT m.concept_key, CAST(count(*) AS BIGINT) AS n, coalesce(max(o.label), 'new') AS label FROM mastery m LEFT JOIN old o ON m.concept_key = o.concept_key GROUP BY m.concept_key",
     "snk4_sticky_flag": "WITH old AS (SELECT student_id, min(observed_at) AS first_at FROM obs WHERE score < 0.1e0 GROUP BY student_id), now_ AS (SELECT student_id, avg(score) < 0.22e0 AS flagged, max(observed_at) AS at FROM obs GROUP BY student_id) SELECT n.student_id, n.flagged, CASE WHEN n.flagged THEN coalesce(o.first_at, n.at) END AS first_flagged_at FROM now_ n LEFT JOIN old o ON n.student_id = o.student_id",
     "snk5_reemit_run": "SELECT run_id, item_key, score FROM item WHERE run_id <> 7 UNION ALL SELECT run_id, item_key, 1e0 AS score FROM item WHERE run_id = 7",
-    "snk6_cascade_delete": "SELECT i.run_id, i.item_key, i.score FROM item i WHERE NOT EXISTS (SELECT 1 FROM run r WHERE r.run_id = i.run_id AND r.assignment_id = '1-URGENT')",
-    "snk7_audit_append": "SELECT 'run.released' AS kind, CAST(student_id AS STRING) AS actor, CAST(run_id AS STRING) AS subject, started_at AS at FROM run WHERE state = 'released'",
-    "snk8_marks_pivot": "SELECT student_id, round(max(CASE WHEN assignment_id = '1-URGENT' THEN total END), 6) AS a1, round(max(CASE WHEN assignment_id = '2-HIGH' THEN total END), 6) AS a2, round(max(CASE WHEN assignment_id = '3-MEDIUM' THEN total END), 6) AS a3, CAST(count(*) AS BIGINT) AS n FROM verdict GROUP BY student_id",
     "snk10_gradebook_payload": "WITH r AS (SELECT student_id, assignment_id, run_id, total, state, row_number() OVER (PARTITION BY student_id, assignment_id ORDER BY started_at DESC, run_id) AS rn FROM verdict WHERE state IN ('released', 'overridden')) SELECT student_id, assignment_id, run_id, round(total * 1e2, 4) AS marks, state FROM r WHERE rn = 1",
     # projections and filters
     "pf1_visible_released": "SELECT run_id, total FROM verdict WHERE state = 'released' AND (price > 1e5) IS FALSE",
