@@ -13,10 +13,6 @@ _ALL = {**relational.SQL, **domain.SQL, **authoring.SQL}
 _SQL, _DUCK = ({k: v if isinstance(v, str) else v[i] for k, v in _ALL.items()} for i in (0, 1))
 
 
-#: What the stream of submissions gives, as a window over all of them.
-_HOURLY = "SELECT event_id, user_id, count(*) OVER s AS n, count(*) OVER s >= 20 AS rejected FROM events WINDOW s AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '1' HOUR PRECEDING AND CURRENT ROW)"
-
-
 def queries() -> dict:
     """SQL queries by name, then those that need grouped Python functions or a stream."""
     found = {name: query(sql) for name, sql in _SQL.items()}
@@ -26,5 +22,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    written = {"snk9_attainment_csv": refresh.ATTAINMENT, "t3_rate_windows": _HOURLY}
+    written = {"snk9_attainment_csv": refresh.ATTAINMENT} | mastery.oracle_sql()
     return {name: rendered(sql, duck=True) for name, sql in (_DUCK | written | similarity.oracle_sql()).items()} | sinks.oracle_sql(rendered)

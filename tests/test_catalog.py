@@ -10,7 +10,7 @@ import pytest
 from gradeloom.plans import authoring, catalog
 
 DATA = "/root/testdata/sf0.001"
-PICKED = ["src2_observation_log", "snk1_mastery_upsert", "snk2_item_stats_upsert", "snk3_label_carry", "snk6_cascade_delete", "snk7_audit_append", "snk8_marks_pivot", "pf9_mastery_state", "j8_roster_left_latest", "a7_nearest_rank", "a9_weighted_kappa", "a15_point_biserial", "a22_programme_outcome", "w7_rate_limit", "w6_trajectories", "o2_contested", "u8_rubric_diff", "k3_trace_students", "k4_propagate_once", "k7_auc", "g1_root_gap", "g2_recommend", "g8_gap_depth", "r1_risk", "e11_gate_routing", "i1_winnow", "i3_pair_similarity", "ma4_cosine", "d1_late_seconds", *authoring.SQL]
+PICKED = ["src2_observation_log", "t1_streamed_mastery", "t2_streamed_once", "t3_rate_windows", "t5_reconciled_mastery", "snk1_mastery_upsert", "snk2_item_stats_upsert", "snk3_label_carry", "snk6_cascade_delete", "snk7_audit_append", "snk8_marks_pivot", "pf9_mastery_state", "j8_roster_left_latest", "a7_nearest_rank", "a9_weighted_kappa", "a15_point_biserial", "a22_programme_outcome", "w7_rate_limit", "w6_trajectories", "o2_contested", "u8_rubric_diff", "k3_trace_students", "k4_propagate_once", "k7_auc", "g1_root_gap", "g2_recommend", "g8_gap_depth", "r1_risk", "e11_gate_routing", "i1_winnow", "i3_pair_similarity", "ma4_cosine", "d1_late_seconds", *authoring.SQL]
 
 
 def plain(rows):

@@ -30,9 +30,3 @@ def test_two_directions_are_two_clusters():
 def test_code_facts():
     assert grouped.code_facts("def f(n):\n  for i in x:\n    for j in y: f(j)\n") == {"parsed": True, "functions": 1, "loop_depth": 2, "branches": 0, "recursive": True}
     assert not grouped.code_facts("def f(:")["parsed"]
-
-
-def test_streams_see_every_event(spark):
-    d = "/root/testdata/sf0.001"
-    n = spark.read.parquet(f"{d}/events.parquet").count()
-    assert grouped.t2_streamed_once(spark, d).count() == n

@@ -3,9 +3,9 @@
 import duckdb
 import pytest
 
-from gradeloom.operators import grouped
 from gradeloom.plans import catalog
 from gradeloom.plans.domain import _RISK, _RISK_ROWS
+from gradeloom.streaming import mastery
 
 DATA = "/root/testdata/sf0.001"
 
@@ -30,5 +30,5 @@ def test_every_flag_has_factors_and_a_support_route(spark):
 
 
 def test_the_stream_counts_every_submission_of_the_hour_before(spark):
-    got = sorted(map(tuple, grouped.t3_rate_windows(spark, DATA).select("event_id", "n", "rejected").collect()))
+    got = sorted(map(tuple, mastery.t3_rate_windows(spark, DATA).select("event_id", "n", "rejected").collect()))
     assert got == sorted(map(tuple, catalog.queries()["w7_rate_limit"](spark, DATA).select("event_id", "n", "rejected").collect()))
