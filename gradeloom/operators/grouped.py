@@ -124,6 +124,5 @@ _SOURCES = ["def f(n):\n    for i in range(n):\n        if i:\n            pass\
 def queries() -> dict:
     return {
         "k6_fit_parameters": lambda spark, d: fit_parameters(_OBS(spark, d)),
-        "c2_density_clusters": lambda spark, d: cluster_vectors(spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "label", "embedding")),
         "e1_code_graph": lambda spark, d: code_graph(spark.createDataFrame(list(enumerate(_SOURCES)), "id int, source string")),
     }

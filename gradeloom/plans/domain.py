@@ -94,7 +94,6 @@ SQL: dict[str, str | tuple[str, str]] = {
     "g7_interventions": f"WITH {_RECO}, s AS (SELECT student_id, avg(m) AS mean FROM mastery GROUP BY student_id), b AS (SELECT r.student_id, max(r.priority) AS p FROM reco r GROUP BY r.student_id) SELECT b.student_id, round(b.p * (1.3e0 - s.mean), 6) AS priority FROM b JOIN s ON s.student_id = b.student_id",
     "g8_gap_depth": f"WITH {_GAPS}, chain(student_id, node, depth, path) AS (SELECT student_id, concept, 1, concat('/', concept, '/') FROM known WHERE m < 0.7e0 UNION ALL SELECT c.student_id, p.prereq, c.depth + 1, concat(c.path, p.prereq, '/') FROM chain c JOIN prereq p ON p.concept = c.node JOIN known k ON k.student_id = c.student_id AND k.concept = p.prereq WHERE k.m < 0.7e0 AND NOT contains(c.path, concat('/', p.prereq, '/'))) SELECT student_id, CAST(max(depth) AS BIGINT) AS depth FROM chain GROUP BY student_id",
     "g9_gap_flag": "SELECT m.student_id, m.concept_key FROM mastery m WHERE m.m < 0.7e0 AND EXISTS (SELECT 1 FROM prereq p WHERE p.prereq = m.concept_key)",
-    "g10_mutual_recursion": "WITH call AS (SELECT * FROM (VALUES ('f', 'g'), ('g', 'f'), ('g', 'h'), ('h', 'h'), ('k', 'f')) AS c(a, b)), reach(a, b, path) AS (SELECT a, b, concat('/', b, '/') FROM call UNION ALL SELECT r.a, c.b, concat(r.path, c.b, '/') FROM reach r JOIN call c ON c.a = r.b WHERE NOT contains(r.path, concat('/', c.b, '/'))) SELECT DISTINCT x.a, x.b FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a WHERE x.a < x.b",
     # risk, gate and review
     "r1_risk": f"WITH {_RISK} {_RISK_ROWS}",
     "r3_risk_invariant": f"WITH {_RISK}, a AS ({_RISK_ROWS}) SELECT count(*) AS students, CAST(count_if(flagged AND factors = '') AS BIGINT) AS flagged_without_factors, CAST(count_if(route NOT IN ('advising', 'tutoring', 'peer_mentoring', 'instructor_check_in')) AS BIGINT) AS off_route, CAST(count_if(risk < 0e0 OR risk > 1e0) AS BIGINT) AS off_scale FROM a",
