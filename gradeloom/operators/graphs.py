@@ -177,16 +177,16 @@ def density_clusters(vectors: DataFrame, least: int = 3, block: int = BLOCK) ->
     return all_.join(size, "root").select("vec_id", F.when(F.col("size") >= least, F.col("root")).otherwise(F.lit(-1).cast("long")).alias("cluster"), "size")
 
 
-#: Calls are the steps of users from one state (an event type and its k) to the next that are taken more than once.
+#: A state (an event type and its k) calls the one that users go to most often from it, of several the first by name.
 _STATE = "event_type || ':' || regexp_extract(props, '[0-9]+', 0)"
 
 
 def g10_mutual_recursion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """State and root of each strongly connected component of the users' repeated steps between states."""
+    """State and root of each strongly connected component of states and what they call."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id", F.expr(_STATE).alias("a"))
     steps = events.withColumn("b", F.lead("a").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
-    calls = steps.filter("a <> b").groupBy("a", "b").count().filter("count > 1")
-    return strongly_connected(calls.select("a", "b"))
+    taken = steps.filter("a <> b").groupBy("a", "b").agg((-F.count(F.lit(1))).alias("k"))
+    return strongly_connected(taken.groupBy("a").agg(F.min(F.struct("k", "b")).alias("x")).select("a", "x.b"))
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,7 +211,8 @@ def oracle_sql() -> dict[str, str]:
     """States that reach each other, by a walk that keeps each pair once."""
     return {
         "g10_mutual_recursion": f"""WITH step AS (SELECT {_STATE} AS a, lead({_STATE}) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events),
-call AS (SELECT a, b FROM step WHERE a <> b GROUP BY a, b HAVING count(*) > 1),
+taken AS (SELECT a, b, count(*) AS k FROM step WHERE a <> b GROUP BY a, b),
+call AS MATERIALIZED (SELECT a, arg_min(b, (-k, b)) AS b FROM taken GROUP BY a),
 reach(a, b) AS (SELECT a, b FROM call UNION SELECT r.a, c.b FROM reach AS r JOIN call AS c ON c.a = r.b)
 SELECT x.a AS node, least(x.a, min(x.b)) AS root FROM reach AS x JOIN reach AS y ON y.a = x.b AND y.b = x.a WHERE x.a <> x.b GROUP BY x.a"""
     }
