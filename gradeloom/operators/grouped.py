@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gradeloom.plans.evidence import query
-from gradeloom.runtime import ship
+from gradeloom.runtime import ship, stored
 
 #: Slip and guess multipliers by evidence source; clamps of the fitted parameters.
 SOURCES = {"test": (0.85, 0.80), "repair": (1.00, 0.95), "static": (0.95, 1.05), "structural": (1.35, 1.45), "report": (1.50, 1.60), "manual": (0.60, 0.60)}
@@ -46,10 +46,54 @@ def fit_concept(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"concept_key": [rows["concept_key"].iloc[0]], "prior": [PRIOR], "learn": [LEARN], "slip": [round(slip, 6)], "guess": [round(guess, 6)], "n": [len(rows)]})
 
 
+#: Rounds of the fit between two writes of the parameters.
+WRITTEN = 8
+
+
+def sequences(observations: DataFrame) -> DataFrame:
+    """concept_key, student_id and xs: each student's observations of a concept in order, as r (score), s and g (the factors of slip and guess)."""
+    rate = lambda i: F.create_map(*[F.lit(x) for k, v in SOURCES.items() for x in (k, v[i])])
+    unit = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    spread = 2 - unit("confidence")
+    s, g = (F.coalesce(rate(i)[F.col("source")], F.lit(OTHER[i])) * spread for i in (0, 1))
+    x = F.struct("observed_at", "obs_id", unit("score").alias("r"), s.alias("s"), g.alias("g"))
+    return observations.groupBy("concept_key", "student_id").agg(F.array_sort(F.collect_list(x)).alias("xs"))
+
+
+#: One student's expected counts under slip and guess: m follows the mastery; duty is the share known, miss its wrong
+#: answers, rest the share not known, luck its right answers. A transform over one element names a value.
+_EXPECTED = f"""aggregate(xs, named_struct('m', {PRIOR}D, 'duty', 0D, 'miss', 0D, 'rest', 0D, 'luck', 0D), (z, x) ->
+  transform(transform(transform(array(named_struct('s', least({CAP}D, slip * x.s), 'g', least({CAP}D, guess * x.g))),
+    y -> named_struct('s', y.s, 'p', greatest(1e-6D, least(1 - 1e-6D, z.m * (1 - y.s) + (1 - z.m) * y.g)))),
+    y -> greatest(0D, least(1D, x.r * z.m * (1 - y.s) / y.p + (1 - x.r) * z.m * y.s / (1 - y.p)))),
+    d -> named_struct('m', d + (1 - d) * {LEARN}D, 'duty', z.duty + d, 'miss', z.miss + d * (1 - x.r), 'rest', z.rest + (1 - d), 'luck', z.luck + (1 - d) * x.r))[0])"""
+
+
 def fit_parameters(observations: DataFrame) -> DataFrame:
-    """One row of fitted parameters per concept."""
-    ship(observations.sparkSession)
-    return observations.groupBy("concept_key").applyInPandas(fit_concept, "concept_key string, prior double, learn double, slip double, guess double, n bigint")
+    """One row of fitted parameters per concept, by expectation-maximisation.
+
+    The expectation is a fold over each student's ordered observations, the maximisation one sum per concept; a task holds
+    one student's observations of one concept. Every WRITTEN rounds the parameters are written,
+    and where the last round moved none, no later one would. Concepts of fewer than
+    LEAST_SEQUENCES students keep the start. The prior and the learning rate do not move, as each is its own fixed point.
+    """
+    seq = stored(sequences(observations), "sequences")
+    fit = seq.groupBy("concept_key").agg(F.count(F.lit(1)).alias("students"), F.sum(F.size("xs")).cast("long").alias("n")).withColumns({"slip": F.lit(SLIP), "guess": F.lit(GUESS)})
+    fit = stored(fit, "fitted")
+    clip = lambda c: F.greatest(F.lit(0.001), F.least(F.lit(0.40), c))
+    for i in range(1, ROUNDS + 1):
+        counts = seq.join(fit.filter(F.col("students") >= LEAST_SEQUENCES), "concept_key").select("concept_key", "students", "n", "slip", "guess", F.expr(_EXPECTED).alias("e"))
+        sums = counts.groupBy("concept_key", "students", "n", "slip", "guess").agg(*[F.sum(f"e.{c}").alias(c) for c in ("duty", "miss", "rest", "luck")])
+        slip = F.when(F.col("duty") > 1e-9, clip(F.col("miss") / F.col("duty"))).otherwise(F.col("slip"))
+        guess = F.when(F.col("rest") > 1e-9, clip(F.col("luck") / F.col("rest"))).otherwise(F.col("guess"))
+        fit = sums.select("concept_key", "students", "n", slip.alias("slip"), guess.alias("guess"), ((slip != F.col("slip")) | (guess != F.col("guess"))).alias("moved"))
+        if i % WRITTEN == 0:
+            fit = stored(fit, "fitted")
+            if fit.filter("moved").isEmpty():
+                break
+    start = seq.groupBy("concept_key").agg(F.sum(F.size("xs")).cast("long").alias("n"))
+    moved = fit.select("concept_key", F.col("slip").alias("s"), F.col("guess").alias("g"))
+    return start.join(moved, "concept_key", "left").select("concept_key", F.lit(PRIOR).alias("prior"), F.lit(LEARN).alias("learn"), F.round(F.coalesce("s", F.lit(SLIP)), 6).alias("slip"), F.round(F.coalesce("g", F.lit(GUESS)), 6).alias("guess"), "n")
 
 
 def spanning_tree(vectors: np.ndarray, least: int) -> np.ndarray:

@@ -30,3 +30,17 @@ def test_two_directions_are_two_clusters():
 def test_code_facts():
     assert grouped.code_facts("def f(n):\n  for i in x:\n    for j in y: f(j)\n") == {"parsed": True, "functions": 1, "loop_depth": 2, "branches": 0, "recursive": True}
     assert not grouped.code_facts("def f(:")["parsed"]
+
+
+def test_fit_by_sums_is_the_fit_of_each_concept_in_one_task(spark):
+    rng = np.random.default_rng(3)
+    rows = pd.DataFrame({
+        "student_id": rng.integers(0, 30, 900), "concept_key": rng.choice(["a", "b", "c"], 900), "score": rng.uniform(-0.1, 1.2, 900), "confidence": rng.uniform(0, 1.3, 900),
+        "source": rng.choice([*grouped.SOURCES, "other"], 900), "observed_at": pd.Timestamp("2026-01-05") + pd.to_timedelta(rng.integers(0, 500, 900), "h"), "obs_id": range(900),
+    })
+    rows["score"] = np.where(rows["concept_key"] == "a", rng.random(900) < 0.97, np.where(rows["concept_key"] == "b", rng.random(900) < 0.8, rows["score"])).astype(float)
+    rows = pd.concat([rows, rows.head(3).assign(concept_key="few", student_id=[1, 2, 3])])
+    got = grouped.fit_parameters(spark.createDataFrame(rows)).toPandas().set_index("concept_key").sort_index()
+    want = pd.concat([grouped.fit_concept(g) for _, g in rows.groupby("concept_key")]).set_index("concept_key").sort_index()
+    assert list(got.n) == list(want.n) and (got.loc["few", "slip"], got.loc["few", "guess"]) == (grouped.SLIP, grouped.GUESS)
+    assert np.allclose(got[["slip", "guess"]], want[["slip", "guess"]], atol=2e-6) and got.slip.nunique() > 2
