@@ -82,7 +82,6 @@ SQL: dict[str, str | tuple[str, str]] = {
     "w11_recursive_fold": _traced("SELECT concept_key, round(avg(m), 6) AS mean, CAST(count_if(m >= 0.7e0) AS BIGINT) AS mastered FROM traced GROUP BY concept_key"),
     "k5_prerequisite_walk": f"WITH {_WALK} SELECT start_, node, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY start_, node",
     "k7_auc": "WITH r AS (SELECT assignment_id, CASE WHEN state = 'released' THEN 1 ELSE 0 END AS y, rank() OVER (PARTITION BY assignment_id ORDER BY total) + (count(*) OVER (PARTITION BY assignment_id, total) - 1) / 2e0 AS rk FROM verdict) SELECT assignment_id, round((sum(CASE WHEN y = 1 THEN rk ELSE 0e0 END) - sum(y) * (sum(y) + 1e0) / 2e0) / (sum(y) * 1e0 * (count(*) - sum(y))), 6) AS auc FROM r GROUP BY assignment_id",
-    "k8_holdout_validity": "WITH e AS (SELECT student_id, concept_key, avg(score) AS p FROM obs WHERE observed_at < TIMESTAMP '2024-01-22 00:00:00' GROUP BY student_id, concept_key), l AS (SELECT student_id, concept_key, avg(score) AS s FROM obs WHERE observed_at >= TIMESTAMP '2024-01-22 00:00:00' GROUP BY student_id, concept_key), x AS (SELECT CASE WHEN l.s >= 0.2e0 THEN 1 ELSE 0 END AS y, rank() OVER (ORDER BY e.p) + (count(*) OVER (PARTITION BY e.p) - 1) / 2e0 AS rk FROM e JOIN l ON l.student_id = e.student_id AND l.concept_key = e.concept_key) SELECT round((sum(CASE WHEN y = 1 THEN rk ELSE 0e0 END) - sum(y) * (sum(y) + 1e0) / 2e0) / (sum(y) * 1e0 * (count(*) - sum(y))), 6) AS auc FROM x",
     "k4_propagate_once": f"WITH {_WALK}, f AS (SELECT student_id, concept_key, avg((1e0 - score) * confidence) AS strength FROM obs WHERE score < 0.5e0 GROUP BY student_id, concept_key HAVING count(*) >= 2), o AS (SELECT start_, node, row_number() OVER (PARTITION BY start_ ORDER BY min(depth), node) AS ord FROM walk GROUP BY start_, node), d AS (SELECT f.student_id, o.node, f.strength * power(0.45e0, o.ord) / (1e0 + coalesce(m.n, 0)) AS adj FROM f JOIN o ON o.start_ = f.concept_key LEFT JOIN mastery m ON m.student_id = f.student_id AND m.concept_key = o.node) SELECT student_id, node, round(sum(adj), 6) AS lowered_by FROM d WHERE adj >= 0.01e0 GROUP BY student_id, node",
     # graph walks and recommendations
     "g1_root_gap": f"WITH {_GAPS} SELECT student_id, start_, target, CAST(depth AS BIGINT) AS depth FROM goal",
