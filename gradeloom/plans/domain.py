@@ -96,11 +96,7 @@ SQL: dict[str, str | tuple[str, str]] = {
     # risk, gate and review
     "r1_risk": f"WITH {_RISK} {_RISK_ROWS}",
     "r3_risk_invariant": f"WITH {_RISK}, a AS ({_RISK_ROWS}) SELECT count(*) AS students, CAST(count_if(flagged AND factors = '') AS BIGINT) AS flagged_without_factors, CAST(count_if(route NOT IN ('advising', 'tutoring', 'peer_mentoring', 'instructor_check_in')) AS BIGINT) AS off_route, CAST(count_if(risk < 0e0 OR risk > 1e0) AS BIGINT) AS off_scale FROM a",
-    "e10_signal_assembly": "SELECT student_id, concept_key, round(sum(score * r.w) / sum(r.w), 6) AS score, CAST(count(DISTINCT o.source) AS BIGINT) AS sources FROM obs o JOIN (VALUES ('test', 1e0), ('static', 0.85e0), ('structural', 0.55e0), ('repair', 0.70e0), ('report', 0.35e0), ('manual', 1e0)) AS r(source, w) ON r.source = o.source GROUP BY student_id, concept_key",
-    "e11_gate_routing": "WITH a AS (SELECT run_id, sum(score * weight) / sum(weight) AS total, min(score) AS lowest, max(score) AS highest, count_if(flag = 'R') * 1e0 / count(*) AS repaired FROM item GROUP BY run_id) SELECT run_id, CASE WHEN abs(total - 0.4e0) < 0.02e0 THEN 'boundary' WHEN repaired > 0.8e0 THEN 'repair' WHEN highest - lowest > 0.9e0 THEN 'conflict' WHEN total < 0.55e0 THEN 'low_confidence' ELSE 'released' END AS route FROM a",
-    "e12_emit_observations": "SELECT v.run_id, v.student_id, i.concept, round(max(i.score), 6) AS score FROM verdict v JOIN item i ON i.run_id = v.run_id WHERE v.state = 'released' GROUP BY v.run_id, v.student_id, i.concept",
     "e8_claim_labels": "SELECT conv_id, turn, CASE WHEN f.k IS NULL THEN 'unverifiable' WHEN length(c.text) > 200 THEN 'supported' ELSE 'contradicted' END AS label FROM conversations c LEFT JOIN (VALUES ('user'), ('assistant')) AS f(k) ON f.k = c.role",
-    "ma9_review_priority": "SELECT run_id, round(CASE state WHEN 'escalated' THEN 0.9e0 WHEN 'overridden' THEN 0.6e0 ELSE 0.3e0 END * (0.5e0 + (1e0 - total)) * (0.5e0 + total) + 1e-9, 6) AS priority FROM verdict",
     # scalar functions
     "f4_content_hash": "SELECT doc_id, @SHA(concat(source, '/', lang, chr(10), text)) AS content_hash FROM documents",
     "f8_complexity_rank": "SELECT raw, CASE lower(replace(replace(raw, ' ', ''), '^', '')) WHEN 'o(1)' THEN 0 WHEN 'o(logn)' THEN 1 WHEN 'o(n)' THEN 2 WHEN 'o(nlogn)' THEN 3 WHEN 'o(n2)' THEN 4 ELSE 9 END AS rank_ FROM (VALUES ('O(n)'), ('O(n log n)'), ('O(N^2)'), ('O( 1 )'), ('fast')) AS t(raw)",
