@@ -17,7 +17,7 @@ from itertools import islice
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gradeloom.operators.grouped import code_facts
+from gradeloom.operators.grouped import code_graph
 from gradeloom.runtime import ship
 
 # Names kept by the normalisation beside the language's keywords.
@@ -115,30 +115,30 @@ def _one_letter_off(a: str, b: str) -> bool:
 
 
 def _edits(lines: list[str], at: int, names: set[str]):
-    """(kind, line, new text) of single-line changes at the reported line and the one before it."""
-    for i in (at, at - 1):
+    """(kind, line, new text) of single-line changes at the reported line and those beside it."""
+    for i in (at, at - 1, at + 1):
         if not 0 <= i < len(lines) or not lines[i].strip():
             continue
         line = lines[i]
         text = line.strip()
         lead = line[: len(line) - len(line.lstrip())]
         if re.match(r"(def|class|if|elif|else|for|while|try|except|finally|with)\b", text) and not text.endswith(":"):
-            yield "add_colon", i, line.rstrip() + ":"
+            yield "insert_colon", i, line.rstrip() + ":"
         for left, right in ("()", "[]", "{}"):
             gap = line.count(left) - line.count(right)
             if gap > 0:
                 stop = line.rstrip()
-                yield "close_bracket", i, stop[:-1] + right * gap + ":" if stop.endswith(":") else stop + right * gap
+                yield "close_delimiter", i, stop[:-1] + right * gap + ":" if stop.endswith(":") else stop + right * gap
             elif gap < 0:
                 cut = line.rindex(right)
-                yield "drop_bracket", i, line[:cut] + line[cut + 1 :]
+                yield "delete_delimiter", i, line[:cut] + line[cut + 1 :]
         for mark in "\"'":
             if line.count(mark) % 2:
-                yield "close_quote", i, line.rstrip() + mark
+                yield "close_string", i, line.rstrip() + mark
                 if line.rstrip().endswith(")"):
-                    yield "close_quote", i, line.rstrip()[:-1] + mark + ")"
+                    yield "close_string", i, line.rstrip()[:-1] + mark + ")"
         if re.match(r"(if|elif|while)\b", text):
-            yield "compare", i, re.sub(r"(?<![=!<>])=(?!=)", "==", line, count=1)
+            yield "fix_comparison", i, re.sub(r"(?<![=!<>])=(?!=)", "==", line, count=1)
         if text.endswith(";"):
             yield "drop_semicolon", i, line.rstrip().rstrip(";")
         for word in sorted(set(re.findall(r"[A-Za-z_]\w*", text)) - names):
@@ -179,41 +179,53 @@ def repaired(source: str, most_edits: int = 3, most_tried: int = 400, beam: int
     return None, []
 
 
-# Features that each named algorithm asks for; words in "tokens" are evidence of the name.
-SIGNATURES = {
-    "binary_search": {"tokens": ("//", "mid", "lo", "hi", "left", "right"), "repeats": True, "branches": 2},
-    "divide_and_conquer_sort": {"tokens": ("merge", "sort", "mid", "half"), "recursive": True, "branches": 1},
-    "quadratic_sort": {"tokens": ("swap", "temp", "range"), "least_depth": 2},
-    "linear_scan": {"least_depth": 1, "most_depth": 1},
-    "hash_lookup": {"tokens": ("dict", "{}", "set(", "in ")},
-    "dynamic_programming": {"tokens": ("dp", "memo", "cache", "table"), "least_depth": 1},
-    "recursive_traversal": {"tokens": ("left", "right", "node", "child"), "recursive": True},
-}
+# What each named algorithm asks of a source, and the words that are evidence of its name.
+DEMANDS = """
+binary_search           requires_loop_or_recursion 1
+binary_search           min_branches               2
+divide_and_conquer_sort requires_recursion         1
+divide_and_conquer_sort min_branches               1
+quadratic_sort          min_loop_depth             2
+linear_scan             min_loop_depth             1
+linear_scan             max_loop_depth             1
+dynamic_programming     min_loop_depth             1
+recursive_traversal     requires_recursion         1
+"""
+WORDS = """
+binary_search           // mid lo hi left right
+divide_and_conquer_sort merge sort mid half
+quadratic_sort          swap temp range
+hash_lookup             dict {} set( in_
+dynamic_programming     dp memo cache table
+recursive_traversal     left right node child
+"""
 LEAST_CONFIDENCE, MOST_MATCHES = 0.6, 3
 
 
-def algorithms(source: str) -> list[tuple[str, float]]:
-    """Named algorithms with confidence, best first; none without a word of the name, where its rule has words."""
-    facts, low = code_facts(source), source.lower()
-    depth, own = facts["loop_depth"], facts["recursive"]
-    met = {
-        "recursive": lambda want: own,
-        "repeats": lambda want: own or depth >= 1,
-        "least_depth": lambda want: depth >= want,
-        "most_depth": lambda want: depth <= want,
-        "branches": lambda want: facts["branches"] >= want,
-    }
-    found = []
-    for name, rule in SIGNATURES.items():
-        points = [float(met[k](v)) for k, v in rule.items() if k != "tokens"]
-        if words := rule.get("tokens"):
-            hits = sum(bool(re.search(rf"\b{w}\b", low)) if w.isalpha() else w in low for w in words)
-            if not hits:
-                continue
-            points.append(min(1.0, hits / max(1.0, len(words) / 2)))
-        if (confidence := sum(points) / len(points)) >= LEAST_CONFIDENCE:
-            found.append((name, round(confidence, 3)))
-    return sorted(found, key=lambda f: -f[1])[:MOST_MATCHES]
+def algorithms(facts: DataFrame, text: str = "source") -> DataFrame:
+    """id and found, the named algorithms with their confidence, best first; facts has id, the source and its code facts.
+
+    A rule is met or not for each demand; of the words half are enough. Their mean is the confidence, and no name is given
+    without one of its words, where it has any.
+    """
+    spark = facts.sparkSession
+    demands = spark.createDataFrame([(a, d, int(n)) for a, d, n in map(str.split, DEMANDS.strip().splitlines())], "algorithm string, demand string, bound int")
+    words = spark.createDataFrame([(a, w.replace("_", " ")) for a, *ws in map(str.split, WORDS.strip().splitlines()) for w in ws], "algorithm string, word string")
+    met = (
+        F.when(F.col("demand") == "min_branches", F.col("branches") >= F.col("bound")).when(F.col("demand") == "min_loop_depth", F.col("loop_depth") >= F.col("bound"))
+        .when(F.col("demand") == "max_loop_depth", F.col("loop_depth") <= F.col("bound")).when(F.col("demand") == "requires_recursion", F.col("recursive")).otherwise(F.col("recursive") | (F.col("loop_depth") >= 1))
+    )
+    low = F.lower(F.col(text))
+    told = F.when(F.col("word").rlike("^[a-z]+$"), F.expr(f"lower({text}) rlike concat('\\\\b', word, '\\\\b')")).otherwise(F.contains(low, F.col("word")))
+    # the rules are a fixed list, so each source meets a bounded number of them
+    by_rule = facts.join(F.broadcast(demands)).groupBy("id", "algorithm").agg(F.sum(met.cast("int")).alias("met"), F.count(F.lit(1)).alias("asked"))
+    by_word = facts.join(F.broadcast(words)).groupBy("id", "algorithm").agg(F.sum(told.cast("int")).alias("hits"), F.count(F.lit(1)).alias("words"))
+    both = by_rule.join(by_word, ["id", "algorithm"], "full").filter("hits is null or hits > 0").fillna(0, ["met", "asked"])
+    named = F.when(F.col("words").isNull(), 0.0).otherwise(F.least(F.lit(1.0), F.col("hits") / F.greatest(F.lit(1.0), F.col("words") / 2)))
+    sure = both.withColumn("confidence", (F.col("met") + named) / (F.col("asked") + F.col("words").isNotNull().cast("int"))).filter(F.col("confidence") >= LEAST_CONFIDENCE)
+    ranked = F.slice(F.array_sort(F.collect_list(F.struct((-F.round("confidence", 3)).alias("c"), F.col("algorithm").alias("a")))), 1, MOST_MATCHES)
+    best = sure.groupBy("id").agg(F.transform(ranked, lambda x: F.struct(x.a.alias("algorithm"), (-x.c).alias("confidence"))).alias("found"))
+    return facts.select("id").join(best, "id", "left").withColumn("found", F.coalesce("found", F.expr("cast(array() as array<struct<algorithm:string,confidence:double>>)")))
 
 
 def shape(source: str) -> dict[str, float]:
@@ -260,7 +272,7 @@ def sample(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict:
-    texts, pairs = "array<string>", "array<struct<algorithm:string,confidence:double>>"
+    texts = "array<string>"
     one = lambda name, f, kind: lambda spark, d: sample(spark).select("id", column(f, kind, "source").alias(name))
     similar = lambda spark, d: sample(spark).select("id", column(tree_profile, texts, "source").alias("a"), column(tree_profile, texts, "reference").alias("b")).select("id", F.round(jaccard("a", "b"), 6).alias("similarity"))
     return {
@@ -272,6 +284,6 @@ def queries() -> dict:
         "i2_structural_vector": one("shape", shape, "map<string,double>"),
         "e15_function_facts": one("shape", shape, "map<string,double>"),
         "e2_tree_similarity": similar,
-        "e3_algorithms": one("found", algorithms, pairs),
+        "e3_algorithms": lambda spark, d: algorithms(code_graph(sample(spark).select("id", "source"))),
         "e6_repair": one("edits", lambda s: repaired(s)[1], texts),
     }

@@ -98,7 +98,6 @@ SQL: dict[str, str | tuple[str, str]] = {
     "r3_risk_invariant": f"WITH {_RISK}, a AS ({_RISK_ROWS}) SELECT count(*) AS students, CAST(count_if(flagged AND factors = '') AS BIGINT) AS flagged_without_factors, CAST(count_if(route NOT IN ('advising', 'tutoring', 'peer_mentoring', 'instructor_check_in')) AS BIGINT) AS off_route, CAST(count_if(risk < 0e0 OR risk > 1e0) AS BIGINT) AS off_scale FROM a",
     "e8_claim_labels": "SELECT conv_id, turn, CASE WHEN f.k IS NULL THEN 'unverifiable' WHEN length(c.text) > 200 THEN 'supported' ELSE 'contradicted' END AS label FROM conversations c LEFT JOIN (VALUES ('user'), ('assistant')) AS f(k) ON f.k = c.role",
     # scalar functions
-    "f4_content_hash": "SELECT doc_id, @SHA(concat(source, '/', lang, chr(10), text)) AS content_hash FROM documents",
     "f8_complexity_rank": "SELECT raw, CASE lower(replace(replace(raw, ' ', ''), '^', '')) WHEN 'o(1)' THEN 0 WHEN 'o(logn)' THEN 1 WHEN 'o(n)' THEN 2 WHEN 'o(nlogn)' THEN 3 WHEN 'o(n2)' THEN 4 ELSE 9 END AS rank_ FROM (VALUES ('O(n)'), ('O(n log n)'), ('O(N^2)'), ('O( 1 )'), ('fast')) AS t(raw)",
     "f7_lexicon_class": "SELECT conv_id, turn, CASE WHEN contains(lower(text), 'the') THEN 'en' WHEN contains(lower(text), 'der') THEN 'de' WHEN contains(lower(text), 'que') THEN 'fr' ELSE 'other' END AS kind FROM conversations",
     "f11_levenshtein": ("SELECT p_partkey, CAST(levenshtein(p_brand, 'Brand#12') AS BIGINT) AS d FROM part", "SELECT p_partkey, CAST(levenshtein(p_brand, 'Brand#12') AS BIGINT) AS d FROM part"),
@@ -106,8 +105,6 @@ SQL: dict[str, str | tuple[str, str]] = {
     "f15_line_counts": ("SELECT doc_id, CAST(size(split(text, '\\n', -1)) AS BIGINT) AS lines FROM documents", "SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS lines FROM documents"),
     "f16_language_votes": "SELECT doc_id, CASE WHEN contains(text, 'ñ') OR contains(text, 'ó') THEN 'es' WHEN contains(text, 'ü') OR contains(text, 'ß') THEN 'de' WHEN contains(text, 'è') OR contains(text, 'ê') THEN 'fr' ELSE 'en' END AS guess FROM documents",
     "f19_error_prefix": ("SELECT event_id, substr(substring_index(concat(event_type, ': ', props), ':', 1), 1, 40) AS error_type FROM events", "SELECT event_id, substr(split_part(concat(event_type, ': ', props), ':', 1), 1, 40) AS error_type FROM events"),
-    "f2_path_safety": ("SELECT path, NOT (path LIKE '/%' OR path RLIKE '(^|/)[.][.](/|$)' OR path RLIKE '^[A-Za-z]:') AS safe FROM (VALUES ('a/b.py'), ('/etc/x'), ('../x'), ('C:/x'), ('a/../b')) AS t(path)", "SELECT path, NOT (path LIKE '/%' OR regexp_matches(path, '(^|/)[.][.](/|$)') OR regexp_matches(path, '^[A-Za-z]:')) AS safe FROM (VALUES ('a/b.py'), ('/etc/x'), ('../x'), ('C:/x'), ('a/../b')) AS t(path)"),
-    "f3_extensions": "SELECT url, lower(regexp_extract(url, '[.]([a-z]+)/', 1)) AS ext FROM pages",
     "d1_late_seconds": "SELECT l_orderkey, l_linenumber, greatest(0, @SEC(l_shipdate) - @SEC(o_orderdate)) AS late FROM lineitem JOIN orders ON o_orderkey = l_orderkey",
     "d2_late_start": "SELECT run_id, item_key, (@SEC(submitted_at) - @SEC(TIMESTAMP '1994-01-01 00:00:00')) * 1e0 / 1e8 > 0.5e0 AS late_start FROM item",
     "d3_lead_weeks": "SELECT run_id, round((@SEC(TIMESTAMP '1999-01-01 00:00:00') - @SEC(started_at)) / 86400e0 / 7e0 + 1e-7, 4) AS weeks FROM run",
