@@ -12,7 +12,7 @@ EXTENSIONS = ("py", "c", "h", "cpp", "cc", "hpp", "java", "js", "ts", "go", "rs"
 REPORT = r"(?i)(report|readme|writeup|analysis)\.(md|txt)$"
 
 #: Steps that go nowhere: '.' and empty ones.
-IDLE = r"/(?:\.?/)*\.?$|(?:^|(?<=/))(?:\.?/)+|^\.$"
+IDLE = r"/(?:\.?/)*\.?$|(?:^|(?<=/))(?:\.?/)+|(?:^|(?<=/))\.$"
 #: A file is kept for its ending, for its name, or for having no dot anywhere.
 KEPT = r"(?i)\.(?:" + "|".join(EXTENSIONS) + r")$|(?:makefile|dockerfile)$|^[^.]*$"
 #: The end of a text, in both engines' patterns.
