@@ -7,11 +7,12 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gradeloom.operators.source import algorithms, column, sample
+from gradeloom.operators.grouped import code_facts
+from gradeloom.operators.source import column, named, sample
 
 FACTS = (
     "struct<parsed:boolean, functions:array<struct<name:string, params:int, depth:int, recursive:boolean, guards:array<string>, handles:boolean, globals:boolean, calls:array<string>>>,"
-    " classes:array<string>, imports:array<string>, comments:double, algorithms:array<string>>"
+    " classes:array<string>, imports:array<string>, comments:double, loop_depth:int, branches:int, recursive:boolean>"
 )
 LOOPS, DEFS = (ast.For, ast.AsyncFor, ast.While), (ast.FunctionDef, ast.AsyncFunctionDef)
 
@@ -36,9 +37,9 @@ def _recursive(calls: dict[str, set[str]]) -> set[str]:
 
 
 def facts_of(source: str) -> dict:
-    """Facts of one source; of one that does not parse, only its comments and algorithms."""
+    """Facts of one source; of one that does not parse, only its comments."""
     lines = [x for x in source.splitlines() if x.strip()]
-    out = {"parsed": True, "functions": [], "classes": [], "imports": [], "comments": sum(x.lstrip().startswith("#") for x in lines) / max(1, len(lines)), "algorithms": [n for n, _ in algorithms(source)]}
+    out = {"parsed": True, "functions": [], "classes": [], "imports": [], "comments": sum(x.lstrip().startswith("#") for x in lines) / max(1, len(lines)), **{k: v for k, v in code_facts(source).items() if k in ("loop_depth", "branches", "recursive")}}
     try:
         tree = ast.parse(source)
     except (SyntaxError, ValueError):
@@ -61,8 +62,10 @@ def facts_of(source: str) -> dict:
 
 
 def facts(source: str) -> Column:
-    """The facts of a text column, computed once a row; the checks read them natively."""
-    return column(lambda text: [facts_of(text)], f"array<{FACTS}>", source)[0]
+    """The facts of a text column, computed once a row; the checks read them natively. The named algorithms are rules over them."""
+    found = column(lambda text: [facts_of(text)], f"array<{FACTS}>", source)
+    own = lambda f: named(F.coalesce(F.col(source), F.lit("")), f["loop_depth"], f["branches"], f["recursive"])
+    return F.transform(found, lambda f: f.withField("algorithms", F.transform(own(f), lambda x: x["algorithm"])))[0]
 
 
 def _some(test: Callable[[Column], Column]) -> Callable[[Column, Column, Column], Column]:

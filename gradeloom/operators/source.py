@@ -202,30 +202,33 @@ recursive_traversal     left right node child
 LEAST_CONFIDENCE, MOST_MATCHES = 0.6, 3
 
 
-def algorithms(facts: DataFrame, text: str = "source") -> DataFrame:
-    """id and found, the named algorithms with their confidence, best first; facts has id, the source and its code facts.
+def named(source: Column, loop_depth: Column, branches: Column, recursive: Column) -> Column:
+    """The named algorithms of a source with their confidence, the surest first.
 
-    A rule is met or not for each demand; of the words half are enough. Their mean is the confidence, and no name is given
+    A demand is met or not; of an algorithm's words half are enough. Their mean is the confidence, and no name is given
     without one of its words, where it has any.
     """
-    spark = facts.sparkSession
-    demands = spark.createDataFrame([(a, d, int(n)) for a, d, n in map(str.split, DEMANDS.strip().splitlines())], "algorithm string, demand string, bound int")
-    words = spark.createDataFrame([(a, w.replace("_", " ")) for a, *ws in map(str.split, WORDS.strip().splitlines()) for w in ws], "algorithm string, word string")
-    met = (
-        F.when(F.col("demand") == "min_branches", F.col("branches") >= F.col("bound")).when(F.col("demand") == "min_loop_depth", F.col("loop_depth") >= F.col("bound"))
-        .when(F.col("demand") == "max_loop_depth", F.col("loop_depth") <= F.col("bound")).when(F.col("demand") == "requires_recursion", F.col("recursive")).otherwise(F.col("recursive") | (F.col("loop_depth") >= 1))
-    )
-    low = F.lower(F.col(text))
-    told = F.when(F.col("word").rlike("^[a-z]+$"), F.expr(f"lower({text}) rlike concat('\\\\b', word, '\\\\b')")).otherwise(F.contains(low, F.col("word")))
-    # the rules are a fixed list, so each source meets a bounded number of them
-    by_rule = facts.join(F.broadcast(demands)).groupBy("id", "algorithm").agg(F.sum(met.cast("int")).alias("met"), F.count(F.lit(1)).alias("asked"))
-    by_word = facts.join(F.broadcast(words)).groupBy("id", "algorithm").agg(F.sum(told.cast("int")).alias("hits"), F.count(F.lit(1)).alias("words"))
-    both = by_rule.join(by_word, ["id", "algorithm"], "full").filter("hits is null or hits > 0").fillna(0, ["met", "asked"])
-    named = F.when(F.col("words").isNull(), 0.0).otherwise(F.least(F.lit(1.0), F.col("hits") / F.greatest(F.lit(1.0), F.col("words") / 2)))
-    sure = both.withColumn("confidence", (F.col("met") + named) / (F.col("asked") + F.col("words").isNotNull().cast("int"))).filter(F.col("confidence") >= LEAST_CONFIDENCE)
-    ranked = F.slice(F.array_sort(F.collect_list(F.struct((-F.round("confidence", 3)).alias("c"), F.col("algorithm").alias("a")))), 1, MOST_MATCHES)
-    best = sure.groupBy("id").agg(F.transform(ranked, lambda x: F.struct(x.a.alias("algorithm"), (-x.c).alias("confidence"))).alias("found"))
-    return facts.select("id").join(best, "id", "left").withColumn("found", F.coalesce("found", F.expr("cast(array() as array<struct<algorithm:string,confidence:double>>)")))
+    demand = {
+        "min_branches": lambda n: branches >= n, "min_loop_depth": lambda n: loop_depth >= n, "max_loop_depth": lambda n: loop_depth <= n,
+        "requires_recursion": lambda n: recursive, "requires_loop_or_recursion": lambda n: recursive | (loop_depth >= 1),
+    }
+    low, total = F.lower(source), lambda tests: sum((t.cast("int") for t in tests), F.lit(0))
+    rules: dict[str, tuple[list[Column], list[Column]]] = {}
+    for name, kind, bound in map(str.split, DEMANDS.strip().splitlines()):
+        rules.setdefault(name, ([], []))[0].append(demand[kind](int(bound)))
+    for name, *words in map(str.split, WORDS.strip().splitlines()):
+        rules.setdefault(name, ([], []))[1].extend(low.rlike(rf"\b{w}\b") if w.isalpha() else F.contains(low, F.lit(w.replace("_", " "))) for w in words)
+    found = []
+    for name, (asked, words) in rules.items():
+        share = F.least(F.lit(1.0), total(words) / max(1.0, len(words) / 2)) if words else F.lit(0.0)
+        sure = (total(asked) + share) / (len(asked) + bool(words))
+        found.append(F.when((sure >= LEAST_CONFIDENCE) & (total(words) > 0 if words else F.lit(True)), F.struct((-F.round(sure, 3)).alias("c"), F.lit(name).alias("a"))))
+    return F.transform(F.slice(F.array_sort(F.array_compact(F.array(*found))), 1, MOST_MATCHES), lambda x: F.struct(x.a.alias("algorithm"), (-x.c).alias("confidence")))
+
+
+def algorithms(facts: DataFrame, text: str = "source") -> DataFrame:
+    """id and found, the named algorithms of each source; facts has id, the source and its code facts."""
+    return facts.select("id", named(*(F.col(c) for c in (text, "loop_depth", "branches", "recursive"))).alias("found"))
 
 
 def shape(source: str) -> dict[str, float]:
