@@ -74,19 +74,24 @@ def _four(c: Column) -> Column:
     return F.round(c + 1e-9, 4)
 
 
-def judged(items: DataFrame) -> DataFrame:
-    """items with score, agreement, completeness and confidence; besides `signals` and `declared` the features' own columns."""
+def item_features(items: DataFrame) -> DataFrame:
+    """items with raw_ (the score), completeness and the confidence model's features as columns of their own names."""
     same = F.create_map(*[F.lit(x) for kv in SAME_AS.items() for x in kv])
     made = F.array_distinct(F.transform("signals", lambda s: F.coalesce(same[s.source], s.source)))
     declared = F.array_distinct("declared")
     full = F.when(F.size(declared) > 0, F.size(F.array_intersect(made, declared)) / F.size(declared)).otherwise((F.size(made) > 0).cast("double"))
-    one = items.withColumns({"raw_": weighted("signals"), "agreed_": agreement("signals"), "completeness": full})
-    features = {
-        "signal_agreement": F.col("agreed_"), "evidence_completeness": F.col("completeness"), "boundary_distance": F.least(F.lit(1.0), F.abs(F.col("raw_") - BOUNDARY) / (EPSILON * 5)),
-        "test_pass_rate": F.col("test_pass_rate"), "test_coverage": F.array_contains(made, "test"), "repair_distance_norm": F.least(F.lit(1.0), F.col("repair_distance") / 5.0), "similarity_max": F.col("similarity_max"),
-        "entailment_contradiction_rate": F.col("contradiction_rate"), "stage_error": F.coalesce(F.col("stage_error"), F.lit(False)), "static_check_rate": F.col("static_check_rate"), "has_executable_oracle": F.col("oracle_exists"),
-    }
-    return one.withColumns({"score": _four(F.col("raw_")), "agreement": _four(F.col("agreed_")), "confidence": _four(confidence(features))}).drop("raw_", "agreed_")
+    one = items.withColumns({"raw_": weighted("signals"), "signal_agreement": agreement("signals"), "completeness": full})
+    return one.withColumns({
+        "evidence_completeness": F.col("completeness"), "boundary_distance": F.least(F.lit(1.0), F.abs(F.col("raw_") - BOUNDARY) / (EPSILON * 5)), "test_coverage": F.array_contains(made, "test").cast("double"),
+        "repair_distance_norm": F.least(F.lit(1.0), F.col("repair_distance") / 5.0), "entailment_contradiction_rate": F.col("contradiction_rate"), "stage_error": F.coalesce(F.col("stage_error"), F.lit(False)), "has_executable_oracle": F.col("oracle_exists"),
+    })
+
+
+def judged(items: DataFrame) -> DataFrame:
+    """items with score, agreement, completeness and confidence; besides `signals` and `declared` the features' own columns."""
+    known = item_features(items)
+    features = {n: F.col(n) for n in PRIOR_WEIGHTS if n != "bias"}
+    return known.withColumns({"score": _four(F.col("raw_")), "agreement": _four(F.col("signal_agreement")), "confidence": _four(confidence(features))}).drop("raw_", *(c for c in features if c not in items.columns))
 
 
 def decided(items: DataFrame, runs: DataFrame) -> DataFrame:
@@ -146,12 +151,17 @@ RUN_FACTS = """SELECT r.run_id, (r.price - 100e0 * floor(r.price / 100e0)) / 130
   k.rate AS test_pass_rate, CASE WHEN r.run_id % 9 = 0 THEN 0.4e0 ELSE 0e0 END AS contradiction_rate FROM run r JOIN (SELECT run_id, count_if(flag = 'R') AS repaired, avg(CASE WHEN score >= 0.999e0 THEN 1e0 ELSE 0e0 END) AS rate FROM item GROUP BY run_id) AS k ON k.run_id = r.run_id"""
 
 
-def item_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items of the tables with signals, score, agreement and confidence."""
+def item_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of the tables with signals and the facts of their runs."""
     declared = F.when(F.col("to_report"), F.array(F.lit("test"), F.lit("report"))).otherwise(F.array(F.lit("test"), F.lit("static")))
     items = assembled(query(ITEM_FACTS)(spark, sf_dir).withColumn("declared", declared).withColumn("concepts", F.array("concept")))
     runs = query(RUN_FACTS)(spark, sf_dir).select("run_id", "similarity_max", "repair_distance", "stage_error", "test_pass_rate", "contradiction_rate")
-    return judged(items.join(runs, "run_id").withColumn("static_check_rate", F.col("static_passed").cast("int")))
+    return items.join(runs, "run_id").withColumn("static_check_rate", F.col("static_passed").cast("int"))
+
+
+def item_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of the tables with signals, score, agreement and confidence."""
+    return judged(item_facts(spark, sf_dir))
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
