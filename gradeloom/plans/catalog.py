@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from gradeloom.functions import checks, paths
-from gradeloom.operators import briefs, clusters, gate, graphs, grouped, linear, ranks, refresh, similarity, sinks, source, vectors, walks
+from gradeloom.operators import briefs, clusters, corpus, gate, graphs, grouped, linear, ranks, refresh, similarity, sinks, source, vectors, walks
 from gradeloom.plans import authoring, domain, relational
 from gradeloom.plans.evidence import query, rendered
 from gradeloom.sources import fixtures
@@ -16,7 +16,7 @@ _SQL, _DUCK = ({k: v if isinstance(v, str) else v[i] for k, v in _ALL.items()} f
 def queries() -> dict:
     """SQL queries by name, then those that need grouped Python functions or a stream, and operators in place of a SQL form that does not scale."""
     found = {name: query(sql) for name, sql in _SQL.items()}
-    for part in (grouped, source, briefs, clusters, refresh, fixtures, mastery, checks, similarity, sinks, graphs, ranks, gate, paths, linear, vectors, walks):
+    for part in (grouped, source, briefs, clusters, refresh, fixtures, mastery, checks, similarity, sinks, graphs, ranks, gate, paths, linear, vectors, walks, corpus):
         found |= part.queries()
     return found
 
