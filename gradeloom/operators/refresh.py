@@ -27,7 +27,7 @@ def traced(observations: DataFrame, fitted: DataFrame) -> DataFrame:
     rate = lambda i: F.create_map(*[F.lit(x) for k, v in SOURCES.items() for x in (k, v[i])])
     spread = 2 - F.greatest(F.lit(0.0), F.least(F.lit(1.0), "confidence"))
     slip, guess = (F.least(F.lit(CAP), F.col(c) * F.coalesce(rate(i)[F.col("source")], F.lit(OTHER[i])) * spread) for i, c in enumerate(("slip", "guess")))
-    steps = observations.join(fitted.select("concept_key", "slip", "guess"), "concept_key").select("student_id", "concept_key", F.struct("observed_at", "obs_id", "score", slip.alias("s"), guess.alias("g")).alias("x"))
+    steps = observations.join(F.broadcast(fitted.select("concept_key", "slip", "guess")), "concept_key").select("student_id", "concept_key", F.struct("observed_at", "obs_id", "score", slip.alias("s"), guess.alias("g")).alias("x"))
 
     def step(m, x):
         right = m * (1 - x.s) / (m * (1 - x.s) + (1 - m) * x.g)

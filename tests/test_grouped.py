@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from gradeloom.operators import grouped
 
@@ -44,3 +45,16 @@ def test_fit_by_sums_is_the_fit_of_each_concept_in_one_task(spark):
     want = pd.concat([grouped.fit_concept(g) for _, g in rows.groupby("concept_key")]).set_index("concept_key").sort_index()
     assert list(got.n) == list(want.n) and (got.loc["few", "slip"], got.loc["few", "guess"]) == (grouped.SLIP, grouped.GUESS)
     assert np.allclose(got[["slip", "guess"]], want[["slip", "guess"]], atol=2e-6) and got.slip.nunique() > 2
+
+
+def test_no_concepts_log_is_brought_into_one_task(spark):
+    """The fit's rounds read the sequences where they lie, also where nothing is broadcast for its size."""
+    from gradeloom.operators import refresh
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        obs = grouped._OBS(spark, "/root/testdata/sf0.001")
+        plan = refresh.traced(obs, obs.groupBy("concept_key").agg(F.avg("score").alias("slip"), F.avg("score").alias("guess")))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
