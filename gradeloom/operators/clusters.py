@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame, functions as F
 
-from gradeloom.operators.grouped import spanning_tree
-from gradeloom.runtime import ship
+from gradeloom.operators.graphs import spanning_edges
+from gradeloom.runtime import ship, stored
 
 
 def linkage(edges: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -29,8 +31,9 @@ def linkage(edges: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
 def excess_of_mass(edges: np.ndarray, n: int, least: int) -> tuple[np.ndarray, dict[int, float]]:
     """Cluster node of each point (-1: noise) and the stability of each selected node.
 
-    Going down the tree, a split with both sides of at least `least` points makes two clusters; otherwise the small side
-    leaves its cluster at the height of the split. A cluster's stability is the sum, over the points that leave it so, of
+    Going down the tree, a split with two sides or more of at least `least` points makes each of them a cluster; the small
+    sides leave their cluster at the height of the split. Merges of equal height are one split of many sides, so the order
+    of equal edges does not count. A cluster's stability is the sum, over the points that leave it so, of
     the density gained since its birth. A cluster is taken where it is as stable as
     the best selection below it. The root is never taken.
     """
@@ -48,10 +51,16 @@ def excess_of_mass(edges: np.ndarray, n: int, least: int) -> tuple[np.ndarray, d
         if node not in owner:
             continue
         k, own = node - n, owner[node]
-        sides = (int(left[k]), int(right[k]))
+        sides, todo = [], [int(left[k]), int(right[k])]
+        while todo:  # merges of one height are one merge
+            s = todo.pop()
+            if s >= n and height[s - n] == height[k]:
+                todo += [int(left[s - n]), int(right[s - n])]
+            else:
+                sides.append(s)
         big = [s for s in sides if size[s] >= least]
         for s in sides:
-            if len(big) == 2:
+            if len(big) > 1:
                 owner[s], born[s], parent[s], gone[s] = s, height[k], own, []
                 order.append(s)
             elif s in big:
@@ -91,26 +100,41 @@ def excess_of_mass(edges: np.ndarray, n: int, least: int) -> tuple[np.ndarray, d
     return label[:n], {c: value[c] for c in taken}
 
 
-def condensed_group(rows: pd.DataFrame, least: int = 3) -> pd.DataFrame:
-    """Clusters of one group's vectors, named by their smallest id; noise is -1. The medoid has the least total distance."""
-    rows = rows.sort_values("vec_id")
-    ids, x = rows["vec_id"].to_numpy(), np.stack(rows["embedding"].to_numpy()).astype(float)
-    label, stable = excess_of_mass(spanning_tree(x, 2), len(ids), least)
-    unit = x / np.maximum(1e-12, np.linalg.norm(x, axis=1))[:, None]
-    out = pd.DataFrame({"vec_id": ids, "cluster": -1, "stability": 0.0, "medoid": False})
-    for c, s in stable.items():
-        at = np.flatnonzero(label == c)
-        near = unit[at] @ unit[at].sum(0)  # the most similar to all is the least distant
-        out.loc[at, "cluster"] = ids[at].min()
-        out.loc[at, "stability"] = round(float(s), 4)
-        out.loc[at[int(np.argmax(np.round(near, 9)))], "medoid"] = True
-    return out
+def condensed_group(edges: pd.DataFrame, least: int = 3) -> pd.DataFrame:
+    """Clusters of one group's vectors from its spanning tree (a, b, w), named by their smallest id; noise has no row."""
+    edges = edges.sort_values(["w", "a", "b"])
+    ids = np.unique(edges[["a", "b"]].to_numpy())
+    tree = np.column_stack([edges["w"], np.searchsorted(ids, edges["a"]), np.searchsorted(ids, edges["b"])])
+    label, stable = excess_of_mass(tree, len(ids), least)
+    at = np.flatnonzero(label >= 0)
+    first = pd.Series(ids[at]).groupby(label[at]).transform("min").to_numpy()
+    return pd.DataFrame({"vec_id": ids[at], "cluster": first, "stability": [round(float(stable[c]), 4) for c in label[at]]})
+
+
+def medoids(members: DataFrame) -> DataFrame:
+    """vec_id of the member of each cluster with the least total distance to its others; members has cluster, vec_id and embedding."""
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    long = F.greatest(F.lit(1e-12), F.sqrt(F.aggregate(x, F.lit(0.0), lambda z, v: z + v * v)))
+    units = members.select("cluster", "vec_id", F.transform(x, lambda v: v / long).alias("unit"))
+    total = units.groupBy("cluster").agg(vector_to_array(Summarizer.sum(array_to_vector("unit"))).alias("all_"))
+    # the most similar to all is the least distant
+    near = F.round(F.aggregate(F.zip_with("unit", "all_", lambda v, w: v * w), F.lit(0.0), lambda z, v: z + v), 9)
+    best = units.join(total.hint("merge"), "cluster").groupBy("cluster").agg(F.max(F.struct(near.alias("near"), (-F.col("vec_id")).alias("id"))).alias("best"))
+    return best.select((-F.col("best.id")).alias("vec_id"))
 
 
 def condensed_clusters(vectors: DataFrame, group: str = "label", least: int = 3) -> DataFrame:
-    """vec_id, cluster, stability, medoid. One group's vectors are held by one task: its distances take 8 n^2 bytes."""
+    """vec_id, cluster, stability, medoid. Distances are compared in blocks; a task holds one group's tree, which has an edge a vector.
+
+    Rows without a vector or key are left out, keys are unique; a null group is a group.
+    """
     ship(vectors.sparkSession)
-    return vectors.groupBy(group).applyInPandas(lambda rows: condensed_group(rows, least), "vec_id bigint, cluster bigint, stability double, medoid boolean")
+    rows = vectors.filter("vec_id is not null and embedding is not null").select("vec_id", "embedding", F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("")).alias("grp"))
+    tree = spanning_edges(rows, group="grp", least=2)
+    parts = stored(tree.groupBy("grp").applyInPandas(lambda edges: condensed_group(edges, least), "vec_id bigint, cluster bigint, stability double"), "condensed")
+    best = medoids(rows.join(parts.hint("merge"), "vec_id")).withColumn("medoid", F.lit(True))
+    all_ = rows.select("vec_id").join(parts.hint("merge"), "vec_id", "left").join(best.hint("merge"), "vec_id", "left")
+    return all_.select("vec_id", F.coalesce("cluster", F.lit(-1).cast("long")).alias("cluster"), F.coalesce("stability", F.lit(0.0)).alias("stability"), F.coalesce("medoid", F.lit(False)).alias("medoid"))
 
 
 def _embeddings(spark, sf_dir: str) -> DataFrame:
