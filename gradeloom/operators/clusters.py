@@ -60,7 +60,7 @@ def excess_of_mass(edges: np.ndarray, n: int, least: int) -> tuple[np.ndarray, d
                 sides.append(s)
         big = [s for s in sides if size[s] >= least]
         for s in sides:
-            if len(big) > 1:
+            if len(big) > 1 and s in big:
                 owner[s], born[s], parent[s], gone[s] = s, height[k], own, []
                 order.append(s)
             elif s in big:

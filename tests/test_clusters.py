@@ -43,3 +43,10 @@ def test_the_order_of_equal_edges_does_not_count():
     for e in (edges, swapped):
         label, stable = C.excess_of_mass(e, 7, 3)
         assert (label == -1).all() and not stable
+
+
+def test_a_split_of_many_sides_makes_clusters_of_the_large_ones_alone():
+    edges = np.array([(0.1, 0, 1), (0.1, 1, 2), (0.2, 3, 4), (0.2, 4, 5), (0.5, 2, 3), (0.5, 5, 6), (0.9, 6, 7)])
+    label, stable = C.excess_of_mass(edges, 8, 3)
+    assert label[0] == label[1] == label[2] >= 8 and label[3] == label[4] == label[5] >= 8 and label[0] != label[3]
+    assert label[6] == label[7] == -1 and set(stable) == {label[0], label[3]}
