@@ -5,9 +5,9 @@ the source's cumulative tokens divided by the source's target. Packets are dealt
 summed, and the range in which the running total passes the budget is ordered exactly to find the cut.
 A source may be passed through `repeats` times.
 
-Where documents may be cut (`whole` is false), the packet that a source has in service at the cut is taken up to it. The
-targets add up to the budget, so the running total over all sources reaches it at virtual time 1, and every source has
-its target by then, but for part of a word.
+Where documents may be cut (`whole` is false), packets are served in the same order up to the same cut. What a source's
+packets then have beyond its target goes back from the last of them, and what they lack comes from the packet after them,
+so every source has its target, but for part of a word.
 """
 
 from __future__ import annotations
@@ -95,16 +95,24 @@ def mix(docs: DataFrame, *, text: str = "text", source: str = "source", key: str
     by = Window.partitionBy(f"{P}none", f"{P}src").orderBy(f"{P}cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = stored(cells.withColumn(f"{P}before", F.coalesce(F.sum(f"{P}bytes").over(by), F.lit(0))).drop(f"{P}bytes").join(targets, [f"{P}none", f"{P}src"]), "mix-offsets")
     placed = stored(_positions(narrow, offsets, key), "mix-places")
-    cut = _cut(placed, parts, repeats) if whole else None
+    cut = _cut(placed, parts, repeats)
+    if not whole:
+        served = stored(_served(placed, cut, repeats), "mix-served")
     if keep is None:  # whole rows: one shuffle of the texts
         placed = _positions(_sized(docs, text, source, key, parts), offsets, key)
+    if not whole:
+        placed = placed.join(F.broadcast(served), [f"{P}none", f"{P}src"], "left")
     took, words = F.lit(0), F.lit(0)
     for epoch in range(repeats):
-        start = F.col(f"{P}cum") - F.col(f"{P}size") + F.col(f"{P}source_size") * F.lit(epoch)
-        words = words + F.greatest(F.lit(0), F.least(F.col(f"{P}size"), F.floor(f"{P}target") - start))
-        if cut is not None:
-            f = _finish(F.lit(epoch))
-            took = took + F.when((f < cut[0]) | ((f == cut[0]) & (F.col(f"{P}rank") <= cut[1])), 1).otherwise(0)
+        inside = _within(cut, F.lit(epoch))
+        # whole up to the cut; there a source's last packet gives back what is beyond its target, or the next one is taken in part
+        took = took + F.when(inside, 1).otherwise(0)
+        if not whole:
+            end = F.col(f"{P}cum") + F.col(f"{P}source_size") * F.lit(epoch)
+            due = F.floor(f"{P}target") - F.coalesce(f"{P}served", F.lit(0))
+            back = F.least(F.col(f"{P}size"), F.greatest(F.lit(0), end - F.floor(f"{P}target")))
+            more = F.least(F.col(f"{P}size"), F.greatest(F.lit(0), F.col(f"{P}served") + due - (end - F.col(f"{P}size"))))
+            words = words + F.when(inside, F.col(f"{P}size") - F.when(due < 0, back).otherwise(0)).otherwise(F.when(due > 0, more).otherwise(0))
     return placed.select(
         *columns,
         F.col(f"{P}size").alias("size"),
@@ -114,6 +122,20 @@ def mix(docs: DataFrame, *, text: str = "text", source: str = "source", key: str
     )
 
 
+def _within(cut: tuple[float, int] | None, epoch: Column) -> Column:
+    """Whether a packet is within the cut, in order of finish time and rank."""
+    if cut is None:
+        return F.lit(False)
+    f = _finish(epoch)
+    return F.coalesce((f < cut[0]) | ((f == cut[0]) & (F.col(f"{P}rank") <= cut[1])), F.lit(False))
+
+
+def _served(placed: DataFrame, cut: tuple[float, int] | None, repeats: int) -> DataFrame:
+    """Words that each source has by its packets within the cut."""
+    times = sum((F.when(_within(cut, F.lit(e)), 1).otherwise(0) for e in range(repeats)), F.lit(0))
+    return placed.groupBy(f"{P}none", f"{P}src").agg(F.sum(F.col(f"{P}size") * times).alias(f"{P}served"))
+
+
 def _cut(placed: DataFrame, parts: int, repeats: int) -> tuple[float, int] | None:
     """Finish time and source rank of the last packet within the budget, in order of finish time and rank."""
     packets = (

@@ -90,6 +90,21 @@ def test_cut_mix_is_that_of_brute_force(spark, docs):
         assert all(r.taken <= 2 * r.size for r in mixing.mix(d, whole=False).collect())
 
 
+def test_cut_mix_serves_packets_by_finish_time(spark, monkeypatch):
+    """A document taken in part, or given back in part, is the one at its source's edge; all others are served up to the cut."""
+    cuts, find = [], mixing._cut
+    monkeypatch.setattr(mixing, "_cut", lambda *a: cuts.append(find(*a)) or cuts[-1])
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    cut = {(r.doc_id, r.source): r for r in mixing.mix(table, whole=False).collect()}
+    served = {(r.doc_id, r.source): r.taken for r in mixing.mix(table).collect()}
+    assert len(cuts) == 2 and cuts[0] == cuts[1] and cuts[0] is not None
+    apart = Counter(k[1] for k, r in cut.items() if r.taken != served[k])
+    assert len(apart) > 1 and max(apart.values()) <= 2
+    for s in {k[1] for k in cut}:
+        own = [r for k, r in cut.items() if k[1] == s]
+        assert sum(r.taken for r in own) == math.floor(own[0].target + 1e-9)
+
+
 def test_shards_are_gapless_and_keep_equal_texts_together(docs, empty):
     rows = sharding.shard(docs, 3).collect()
     for s in {r.shard for r in rows}:
