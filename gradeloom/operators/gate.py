@@ -102,14 +102,16 @@ def decided(items: DataFrame, runs: DataFrame) -> DataFrame:
     with the value that met it and the limit. A run without items has a total and a confidence of 0. The priority is what a
     human minute is worth: the gravest reason, the weight in doubt and the confidence that is missing.
     """
+    # a run's items in order of their keys: thresholds hang on the last bits of a sum, which must not hang on partitions
+    part = items.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("item_key", *[F.col(c).cast("double").alias(c) for c in ("weight", "score", "agreement", "confidence")]))).alias("of_"))
+    added = lambda term: F.aggregate("of_", F.lit(0.0), lambda z, x: z + F.coalesce(term(x), F.lit(0.0)))
     # weights add up to one at least where they are nothing
-    whole = items.groupBy("run_id").agg(F.sum("weight").alias("w"))
-    part = items.join(whole.withColumn("w", F.when(F.col("w") == 0, 1.0).otherwise(F.col("w"))), "run_id")
-    share = F.col("weight") / F.col("w")
-    facts = part.groupBy("run_id").agg(
-        F.sum(F.col("score") * share).alias("raw"), F.sum(F.col("confidence") * share).alias("confidence"),
-        F.min(F.when((share >= SHARE) & (F.col("agreement") < AGREED), F.col("agreement"))).alias("conflict"),
-        F.sum(F.when(F.col("confidence") < CONTESTED, share * (1 - F.col("confidence"))).otherwise(0.0)).alias("contested"),
+    part = part.withColumn("w", added(lambda x: x.weight)).withColumn("w", F.when(F.col("w") == 0, 1.0).otherwise(F.col("w")))
+    share = lambda x: x.weight / F.col("w")
+    facts = part.select(
+        "run_id", added(lambda x: x.score * share(x)).alias("raw"), added(lambda x: x.confidence * share(x)).alias("confidence"),
+        F.array_min(F.transform(F.filter("of_", lambda x: (share(x) >= SHARE) & (x.agreement < AGREED)), lambda x: x.agreement)).alias("conflict"),
+        added(lambda x: F.when(x.confidence < CONTESTED, share(x) * (1 - x.confidence)).otherwise(0.0)).alias("contested"),
     )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     run = runs.join(facts, "run_id", "left").withColumn("confidence", zero("confidence")).withColumn("total", F.greatest(F.lit(0.0), zero("raw") * (1 - zero("syntax_penalty"))))

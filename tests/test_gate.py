@@ -1,5 +1,6 @@
 """Signals, agreement, confidence and the gate on literal rows with known answers."""
 
+import itertools
 import math
 
 import pytest
@@ -81,3 +82,11 @@ def test_only_released_and_overridden_runs_are_observed(spark):
     judged = items(spark, {"static_passed": True, "concepts": ["a", "b"]}, {"run_id": 2}, {"run_id": 3, "on_repaired": True, "static_passed": True})
     states = spark.createDataFrame([(1, "released"), (2, "escalated"), (3, "overridden")], "run_id int, state string")
     assert sorted((r.run_id, r.concept, r.source) for r in gate.observed(judged, states).collect()) == [(1, "a", "test"), (1, "b", "test"), (3, "c_x", "static")]
+
+
+def test_a_verdict_does_not_hang_on_the_order_of_rows(spark):
+    """Shares of three items whose sum, added in one order or another, lies on either side of the boundary's edge."""
+    of = [(1, "a", 1.0, 0.3, 1.0, 0.9), (1, "b", 1.0, 0.4, 1.0, 0.9), (1, "c", 1.0, 0.44, 1.0, 0.9), (1, "d", 3.0, 0.38, 1.0, 0.9), (1, "e", 7.0, 0.38, 1.0, 0.9)]
+    facts = spark.createDataFrame([(1, 0.0, 0, 0.0, False)], f"run_id int, {FACTS}")
+    got = {tuple(gate.decided(spark.createDataFrame(list(p), "run_id int, item_key string, weight double, score double, agreement double, confidence double").coalesce(1), facts).select("state", "total", "confidence").first()) for p in itertools.islice(itertools.permutations(of), 0, 120, 17)}
+    assert len(got) == 1, got
