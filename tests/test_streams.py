@@ -1,12 +1,14 @@
 """Streams over several triggers with rows out of order, repeated and late, against the batch forms."""
 
 import datetime as dt
+import glob
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from gradeloom.runtime import run_folder
+from gradeloom.runtime import run_folder, shared_root
 from gradeloom.sources.keyed import KeyedTable
 from gradeloom.streaming import mastery as M
 
@@ -101,3 +103,15 @@ def test_a_late_row_is_dropped_and_then_repaired(spark):
     after = M.reconciled(table, batch).collect()
     assert {(r.student_id, r.concept_key): (r.estimate, r.n) for r in after} == folded(rows)
     assert {(r.student_id, r.concept_key) for r in after if r.version == 2} == {late[2:4]}
+
+
+def test_a_delivery_is_one_trigger_however_many_files_it_has(spark, tmp_path):
+    table = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    table.repartition(6).write.parquet(f"{tmp_path}/events.parquet")
+    for other in set(os.listdir("/root/testdata/sf0.001")) - {"events.parquet"}:
+        os.symlink(f"/root/testdata/sf0.001/{other}", f"{tmp_path}/{other}")
+    before = set(glob.glob(f"{shared_root(spark)}/gradeloom/deliveries-*/trigger=*"))
+    got = M.t5_reconciled_mastery(spark, str(tmp_path)).collect()
+    triggers = set(glob.glob(f"{shared_root(spark)}/gradeloom/deliveries-*/trigger=*")) - before
+    assert len(got) == table.select("user_id", "event_type").distinct().count()
+    assert len(triggers) <= 4, triggers  # two with data, and those in which timers end
