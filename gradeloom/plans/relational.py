@@ -1,6 +1,6 @@
 """Scans, filters, joins, aggregates, windows, sorts and set operations over the domain views, in SQL."""
 
-SQL: dict[str, str] = {
+SQL: dict[str, str | tuple[str, str]] = {
     # scans and sinks
     "src1_concept_scan": "SELECT concept, week, outcome FROM concepts WHERE outcome IN ('CO1', 'CO2')",
     "src2_observation_log": "SELECT student_id, CAST(count(*) AS BIGINT) AS n, @JOINED(@SORTED(obs_id)) AS log FROM obs GROUP BY student_id",
@@ -78,7 +78,11 @@ SQL: dict[str, str] = {
     "a26_false_positive_rate": "WITH f AS (SELECT v.student_id, s.region AS grp, avg(v.total) < 0.5e0 AS flagged, max(v.total) >= 0.8e0 AS passed FROM verdict v JOIN student s ON s.student_id = v.student_id GROUP BY v.student_id, s.region) SELECT grp, round(count_if(flagged AND passed) * 1e0 / nullif(count_if(passed), 0), 6) AS fpr FROM f GROUP BY grp",
     "a27_slope": "WITH t AS (SELECT student_id, score, row_number() OVER (PARTITION BY student_id ORDER BY observed_at, obs_id) - 1 AS i FROM obs) SELECT student_id, CASE WHEN count(*) < 3 THEN 0e0 ELSE round(regr_slope(score, i), 9) END AS slope FROM t GROUP BY student_id",
     "a28_dashboard_counts": "SELECT student_id, CAST(count_if(m >= 0.7e0) AS BIGINT) AS mastered, CAST(count_if(m < 0.45e0) AS BIGINT) AS gaps, CAST(count_if(u > 0.22e0) AS BIGINT) AS uncertain FROM mastery GROUP BY student_id",
-    "a30_common_failures": "WITH s AS (SELECT assignment_id, count(DISTINCT run_id) AS n FROM item GROUP BY assignment_id) SELECT i.assignment_id, i.item_key, CAST(count(DISTINCT i.run_id) AS BIGINT) AS hits FROM item i JOIN s ON s.assignment_id = i.assignment_id GROUP BY i.assignment_id, i.item_key, s.n HAVING count(DISTINCT i.run_id) >= s.n / 8e0",
+    # assignments are few: items dealt by them would meet in a few tasks
+    "a30_common_failures": (
+        "WITH s AS (SELECT assignment_id, count(DISTINCT run_id) AS n FROM item GROUP BY assignment_id) SELECT /*+ BROADCAST(s) */ i.assignment_id, i.item_key, CAST(count(DISTINCT i.run_id) AS BIGINT) AS hits FROM item i JOIN s ON s.assignment_id = i.assignment_id GROUP BY i.assignment_id, i.item_key, s.n HAVING count(DISTINCT i.run_id) >= s.n / 8e0",
+        "WITH s AS (SELECT assignment_id, count(DISTINCT run_id) AS n FROM item GROUP BY assignment_id) SELECT i.assignment_id, i.item_key, CAST(count(DISTINCT i.run_id) AS BIGINT) AS hits FROM item i JOIN s ON s.assignment_id = i.assignment_id GROUP BY i.assignment_id, i.item_key, s.n HAVING count(DISTINCT i.run_id) >= s.n / 8e0",
+    ),
     "a33_behaviour": "WITH w AS (SELECT student_id, started_at, row_number() OVER (PARTITION BY student_id ORDER BY started_at, run_id) AS i, count(*) OVER (PARTITION BY student_id) AS n, state FROM run) SELECT student_id, CAST(count_if(i <= n / 2) AS BIGINT) AS early, CAST(count_if(i > n / 2) AS BIGINT) AS late, CAST(count_if(state = 'escalated') AS BIGINT) AS abandoned FROM w GROUP BY student_id",
     "a34_queue_stats": "SELECT event_type AS job_key, CAST(count(*) AS BIGINT) AS depth, round(avg(value), 6) AS mean_wait FROM events GROUP BY event_type",
     "a35_claim_counts": "SELECT role, CAST(count(*) AS BIGINT) AS n, round(count_if(length(text) > 200) * 1e0 / count(*), 6) AS covered FROM conversations GROUP BY role",
