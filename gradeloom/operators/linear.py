@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from gradeloom.operators import gate
 from gradeloom.operators.refresh import LEAST_EXAMPLES, PRIOR_WEIGHTS
 from gradeloom.plans.evidence import query
-from gradeloom.runtime import run_folder
+from gradeloom.runtime import run_folder, stored
 
 #: A pivot below it makes a system singular.
 LEAST_PIVOT = 1e-12
@@ -108,7 +108,8 @@ def ma12_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def x6_confidence_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The confidence model fitted on the items of overridden runs, saved, loaded, and what it gives over all items, by feature."""
-    items = gate.item_features(gate.item_facts(spark, sf_dir))
+    # the fit and the mean read the features, which are made once
+    items = stored(gate.item_features(gate.item_facts(spark, sf_dir)).select("run_id", "raw_", *[n for n in PRIOR_WEIGHTS if n != "bias"]), "item-features")
     human = query("SELECT v.run_id, v.total FROM verdict v WHERE v.state = 'overridden'")(spark, sf_dir)
     model = AgreementRegression().fit(items.join(human, "run_id").withColumn("target", 1 - F.abs(F.col("raw_") - F.col("total"))))
     path = run_folder(spark, "confidence-model")

@@ -1,11 +1,13 @@
 """Elimination in columns and the estimator against numpy."""
 
+import glob
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from gradeloom.operators import linear as L
 from gradeloom.operators import refresh as R
-from gradeloom.runtime import run_folder
+from gradeloom.runtime import run_folder, shared_root
 
 
 def test_systems_are_solved_with_pivots(spark):
@@ -37,3 +39,11 @@ def test_the_estimator_fits_saves_loads_and_transforms(spark):
     estimator = L.AgreementRegression(prior=prior, ridge=2.0)
     estimator.save(path + "-estimator")
     assert L.AgreementRegression.load(path + "-estimator").getOrDefault("ridge") == 2.0
+
+
+def test_the_features_of_all_items_are_made_once(spark):
+    """The fit and the mean read one stored table of them."""
+    before = set(glob.glob(f"{shared_root(spark)}/gradeloom/item-features-*"))
+    got = L.x6_confidence_model(spark, "/root/testdata/sf0.001").collect()
+    made = set(glob.glob(f"{shared_root(spark)}/gradeloom/item-features-*")) - before
+    assert len(got) == len(L.PRIOR_WEIGHTS) and len(made) == 1
