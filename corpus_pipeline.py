@@ -15,7 +15,7 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of exact and near copies: five-word shingles, similarity 0.8."""
+    """One document of each group of exact and near copies: SimHash trie self-join and bands over five-word shingles, exact similarity from 0.8."""
     return nearcopies.deduplicated(docs)
 
 

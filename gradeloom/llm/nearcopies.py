@@ -1,11 +1,12 @@
-"""Near copies by word-shingle similarity: MinHash bands, loose candidate groups, exact Jaccard, components.
+"""Near copies by word-shingle similarity: SimHash trie self-join and MinHash bands, candidate groups, exact Jaccard, components.
 
-The 3-bit rule of `simhash.near_duplicates` joins copies that are all but equal. Here two texts are near copies from a
-similarity (Jaccard of their sets of five-word shingles) of `SIMILARITY` on. Texts that agree on all `ROWS` least hashes
-of one of `BANDS` bands meet in a bucket; what is linked there by a loose estimate, over any number of steps, is a
-candidate group and no more. Within each candidate group all pairs are then compared by the exact similarity of their
-shingle sets, pairs that verified links have joined already excepted, and only verified links join. All parameters are
-the same at every size.
+Two texts are near copies from a similarity (Jaccard of their sets of five-word shingles) of `SIMILARITY` on. The SimHashes
+of the sets are joined within `BUDGET` bits by the operator of `simhash`, a binary trie in pigeonhole subtrees. That finds
+copies that are all but equal; for those down to `SIMILARITY`, texts that agree on all `ROWS` least hashes of one of
+`BANDS` bands meet in a bucket as well and are linked there by a loose estimate. What either links, over any number of
+steps, is a candidate group and no more. Within each candidate group all pairs are then compared by the exact similarity
+of their shingle sets, pairs that verified links have joined already excepted, and only verified links join. All
+parameters are the same at every size.
 
 Least hashes agree with the probability of the similarity, whatever the size of the sets, and those of the bands are
 independent: a pair at 0.8 meets in a bucket with probability 0.9993.
@@ -19,12 +20,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from gradeloom.llm import bytetext as B
 from gradeloom.llm.components import components
-from gradeloom.llm.simhash import one_of_each
+from gradeloom.llm.simhash import fingerprint_links, one_of_each
 from gradeloom.runtime import ship, stored
 
 SHINGLE = 5
 #: Near copies share 4 of 5 of their shingles: 9 * shared >= 4 * (both sizes added).
 SIMILARITY = 0.8
+#: Bits in which the SimHashes of candidates may differ, as in `simhash`: of pairs at 0.8 about 10 of 64 do.
+BUDGET = 3
 BANDS, ROWS = 24, 6
 #: One byte of so many least hashes is the sketch; in a bucket, texts that agree on LOOSE of them are candidates: 3.5 deviations below the mean at 0.8.
 SKETCH, LOOSE = 64, 40
@@ -62,26 +65,41 @@ def band_keys(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nda
     return keys, sketch
 
 
+def simhashes(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """SimHash of each set, none of them empty: a bit is 1 if set in over half the hashes."""
+    out, end, i = np.empty(len(sizes), np.uint64), np.cumsum(sizes), 0
+    while i < len(sizes):  # blocks of whole sets
+        a = int(end[i] - sizes[i])
+        j = max(i + 1, int(np.searchsorted(end, a + (1 << 16), "right")))
+        bits = np.unpackbits(values[a : end[j - 1]].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        count = np.add.reduceat(bits, end[i:j] - sizes[i:j] - a, axis=0, dtype=np.int32)
+        out[i:j] = np.packbits(2 * count > sizes[i:j, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+        i = j
+    return out
+
+
 def fingerprints(docs: DataFrame, *, text: str, key: str, shingle: int) -> DataFrame:
-    """key, row_hash (of the text), node (of the shingle set) and f (band keys, then the sketch; no words: null) of every row."""
+    """key, row_hash (of the text), node (of the shingle set), fp (its SimHash) and f (band keys, then the sketch) of every row; no words: fp and f null."""
     ship(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
             for part in B.slices(batch, text, 1 << 20):
                 values, sizes = shingle_sets(part, text, shingle)
-                node, f = np.zeros(len(sizes), np.uint64), [None] * len(sizes)
+                node, fp, f = np.zeros(len(sizes), np.uint64), np.zeros(len(sizes), np.uint64), [None] * len(sizes)
                 at = np.flatnonzero(sizes)
                 if len(at):
                     some = sizes[at]
                     node[at] = B.mix64(np.add.reduceat(B.mix64(values + np.uint64(0xD6E8FEB86659FD93)), np.cumsum(some) - some) + some.astype(np.uint64))
+                    fp[at] = simhashes(values, some)
                     keys, sketch = band_keys(values, some)
                     for i, x, y in zip(at.tolist(), keys, sketch, strict=True):
                         f[i] = x.tobytes() + y.tobytes()
-                yield pa.RecordBatch.from_arrays([part.column(key), part.column("row_hash"), pa.array(node.view(np.int64)), pa.array(f, pa.binary())], [key, "row_hash", "node", "f"])
+                own = [pa.array(node.view(np.int64)), pa.array(fp.view(np.int64), mask=sizes == 0), pa.array(f, pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(key), part.column("row_hash"), *own], [key, "row_hash", "node", "fp", "f"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text, F.xxhash64(F.col(text)).alias("row_hash")).mapInArrow(run, f"`{key}` {kind}, row_hash bigint, node bigint, f binary")
+    return docs.select(key, text, F.xxhash64(F.col(text)).alias("row_hash")).mapInArrow(run, f"`{key}` {kind}, row_hash bigint, node bigint, fp bigint, f binary")
 
 
 def _dealt(nodes: DataFrame) -> DataFrame:
@@ -134,8 +152,18 @@ def whole_runs(batches, by: str):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def candidate_links(nodes: DataFrame) -> DataFrame:
-    """Links (a, b) that join the candidate groups; a task holds SKETCH + 16 bytes per member of its largest bucket."""
+def trie_links(nodes: DataFrame) -> DataFrame:
+    """Links (a, b) that join the nodes whose SimHashes `simhash.fingerprint_links` joins; equal ones are linked to the least of them."""
+    first = nodes.filter("fp is not null").groupBy("fp").agg(F.min("node").alias("one"))
+    near = fingerprint_links(first.select("fp"), BUDGET)
+    for c in "ab":
+        near = near.join(first.toDF(c, f"{c}_node"), c)
+    equal = nodes.select("node", "fp").join(first, "fp").filter("node <> one")
+    return near.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).unionByName(equal.select(F.col("node").alias("a"), F.col("one").alias("b")))
+
+
+def band_links(nodes: DataFrame) -> DataFrame:
+    """Links (a, b) of nodes that meet in a bucket; a task holds SKETCH + 16 bytes per member of its largest bucket."""
 
     def run(batches):
         for t in whole_runs(batches, "k"):
@@ -154,7 +182,13 @@ def candidate_links(nodes: DataFrame) -> DataFrame:
                 b.append(at[moved])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    return _dealt(nodes).repartition("k").sortWithinPartitions("k").mapInArrow(run, "a bigint, b bigint").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return _dealt(nodes).repartition("k").sortWithinPartitions("k").mapInArrow(run, "a bigint, b bigint")
+
+
+def candidate_links(nodes: DataFrame) -> DataFrame:
+    """Links (a, b) that join the candidate groups."""
+    both = trie_links(nodes).unionByName(band_links(nodes))
+    return both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def exact_groups(sets: list[np.ndarray]) -> np.ndarray:
@@ -217,7 +251,7 @@ def near_copies(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shi
     empty table gives an empty result.
     """
     fps = stored(fingerprints(docs, text=text, key=key, shingle=shingle), "near")
-    nodes = stored(fps.groupBy("node").agg(F.min(key).alias("least"), F.first("f").alias("f"), F.min(F.struct(F.col(key).alias("k"), F.col("row_hash").alias("h"))).alias("one")), "near-nodes")
+    nodes = stored(fps.groupBy("node").agg(F.min(key).alias("least"), F.first("fp").alias("fp"), F.first("f").alias("f"), F.min(F.struct(F.col(key).alias("k"), F.col("row_hash").alias("h"))).alias("one")), "near-nodes")
     links = stored(candidate_links(nodes), "near-links")
     members = components(links).withColumnRenamed("root", "g").join(nodes.select("node", "one.k", "one.h"), "node")
     roots = stored(verified_roots(docs, members, text=text, key=key, shingle=shingle), "near-roots")

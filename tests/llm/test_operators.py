@@ -200,6 +200,31 @@ def test_pairs_just_from_0_8_are_found(spark):
     assert all(got[i] // 2 == i // 2 for i in got)
 
 
+def test_near_copies_come_from_the_trie_of_simhashes_too(spark, monkeypatch):
+    import pyarrow as pa
+
+    draw, rows = random.Random(12), []
+    for i in range(40):
+        words = [f"w{draw.randrange(10**6)}" for _ in range(draw.choice([5, 40, 400]))]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:-1] + words[-1:] * (1 + i % 3 * i)))]
+    rows += [(100, "a b c d e f a b c d e f a b c d e f"), (101, "b c d e f a b c d e f a"), (102, None), (103, " ")]
+    rows = [(i, t) for i, t in rows if i < 80] + rows[80:]
+    values, sizes = nearcopies.shingle_sets(pa.RecordBatch.from_pydict({"t": [t for _, t in rows]}), "t", 5)
+    at, fp, own = 0, {}, {}
+    for (i, _), n in zip(rows, sizes.tolist(), strict=True):
+        h, at = [int(x) for x in values[at : at + n]], at + n
+        own[i], fp[i] = set(h), sum((2 * sum(x >> b & 1 for x in h) > n) << b for b in range(64))
+    up = {i: i for i in fp}
+    for a in sorted(fp):
+        for b in sorted(fp):
+            alike = own[a] == own[b] or own[a] and own[b] and (fp[a] ^ fp[b]).bit_count() <= 3 and 9 * len(own[a] & own[b]) >= 4 * (len(own[a]) + len(own[b]))
+            if a < b and alike:
+                up = {k: up[a] if x == up[b] else x for k, x in up.items()}
+    monkeypatch.setattr(nearcopies, "band_links", lambda nodes: nodes.select(nodes.node.alias("a"), nodes.node.alias("b")).limit(0))
+    got = copies(spark, rows)
+    assert got == up and 5 < sum(got[i] == got[i + 1] and own[i] != own[i + 1] for i in range(0, 80, 2)) < 40 and got[100] == got[101] and got[102] == got[103]
+
+
 def test_trie_joins_what_brute_force_joins():
     import numpy as np
 
